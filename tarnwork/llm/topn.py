@@ -42,29 +42,29 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], item_col: str, score_c
     still needed. Only rows of open sections are read again. No group is ever sorted or brought into one task; the
     window below runs over at most 64 counts of a group.
     """
-    keys = [f"_g{i}" for i in range(len(group_cols))]
-    marks = [f"_n{i}" for i in range(len(group_cols))]
+    by = [f"_g{i}" for i in range(len(group_cols))]
     score = F.col(score_col) if isinstance(score_col, str) else score_col
-    rows = df.select(*[F.col(g).alias(k) for g, k in zip(group_cols, keys)], F.col(item_col).cast("string").alias("_item"), score.cast("double").alias("_score"))
+    rows = df.select(*[F.col(g).alias(k) for g, k in zip(group_cols, by)], F.col(item_col).cast("string").alias("_item"), score.cast("double").alias("_score"))
     rows = rows.where(F.col("_item").isNotNull() & F.col("_score").isNotNull() & ~F.isnan("_score"))
-    rows = rows.groupBy(*keys, "_item").agg(F.max("_score").alias("_score"))
-    # NULL group values become a mark of their own, so that plain equality joins hold
-    rows = rows.select(*[F.coalesce(F.col(k), F.lit("").cast(df.schema[g].dataType) if df.schema[g].dataType.simpleString() == "string" else F.lit(0).cast(df.schema[g].dataType)).alias(k) for g, k in zip(group_cols, keys)], *[F.col(k).isNull().alias(m) for k, m in zip(keys, marks)], "_item", "_score", _score_bits(F.col("_score")).alias("_bits"))
-    by = keys + marks
-    best = stage(rows, "topn-best")
+    rows = rows.groupBy(*by, "_item").agg(F.max("_score").alias("_score"))
+    best = stage(rows.withColumn("_bits", _score_bits(F.col("_score"))), "topn-best")
     low, high, longest = best.agg(F.min(F.shiftright("_bits", 16)), F.max(F.shiftright("_bits", 16)), F.max(F.octet_length("_item"))).first()
-    out = [best.limit(0).select(*by, "_item", "_score")]
+    named = [*[F.col(k).alias(g) for g, k in zip(group_cols, by)], F.col("_item").alias("item"), F.col("_score").alias("score")]
+    if low is None:
+        return best.select(*named)
     active = best.select("*", F.lit(0).alias("_level"), F.lit(low).cast("bigint").alias("_lo"), F.lit(high).cast("bigint").alias("_hi"), F.lit(n).cast("bigint").alias("_need"))
-    held: DataFrame | None = None
-    while low is not None:
+    out: list[DataFrame] = []
+    while not out or not active.isEmpty():
         cut = active.withColumn("_code", _limb("_level", longest)).withColumn("_bin", F.expr(f"((_code - _lo) * {SECTIONS}) div (_hi - _lo + 1)"))
-        counts = cut.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"), F.min("_code").alias("_min"), F.max("_code").alias("_max"), F.min(_limb("(_level + 1)", longest)).alias("_min2"), F.max(_limb("(_level + 1)", longest)).alias("_max2"), F.first("_need").alias("_want"))
+        after = _limb("(_level + 1)", longest)
+        counts = cut.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"), F.min("_code").alias("_min"), F.max("_code").alias("_max"), F.min(after).alias("_min2"), F.max(after).alias("_max2"), F.first("_need").alias("_want"))
         whole = Window.partitionBy(*by)
         counts = counts.withColumn("_cum", F.sum("_c").over(whole.orderBy(F.desc("_bin")))).withColumn("_all", F.sum("_c").over(whole))
         few = F.col("_all") <= F.col("_want")
         # the section of the n-th row; groups that are needed whole end at their lowest section
         edge = counts.where((few & (F.col("_cum") == F.col("_all"))) | (~few & (F.col("_cum") >= F.col("_want")) & (F.col("_cum") - F.col("_c") < F.col("_want"))))
         edge = edge.select(*by, F.col("_bin").alias("_edge"), few.alias("_few"), (F.col("_want") - F.col("_cum") + F.col("_c")).alias("_left"), F.col("_c").alias("_in"), "_min", "_max", "_min2", "_max2", "_all")
+        edge = stage(edge, "topn-edge")
         met = join_weighted(cut, edge, by, "_all", heavy_rows)
         taken = F.col("_few") | (F.col("_bin") > F.col("_edge")) | ((F.col("_bin") == F.col("_edge")) & (F.col("_in") == F.col("_left")))
         done = F.col("_min") == F.col("_max")
@@ -72,12 +72,9 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], item_col: str, score_c
             met.where(taken | (F.col("_bin") == F.col("_edge"))).select(*by, "_item", "_score", "_bits", taken.alias("_taken"), (F.col("_level") + done.cast("int")).alias("_level"), F.when(done, F.col("_min2")).otherwise(F.col("_min")).alias("_lo"), F.when(done, F.col("_max2")).otherwise(F.col("_max")).alias("_hi"), F.col("_left").alias("_need")),
             "topn-step",
         )
-        out.append(step.where("_taken").select(*by, "_item", "_score"))
-        unstage(held)
-        held = best if held is None else None
-        active = step.where("not _taken")
-        if active.isEmpty():
-            break
-    unstage(held)
-    every = reduce(DataFrame.unionByName, out)
-    return every.select(*[F.when(~F.col(m), F.col(k)).alias(g) for g, k, m in zip(group_cols, keys, marks)], F.col("_item").alias("item"), F.col("_score").alias("score"))
+        unstage(edge)
+        if not out:
+            unstage(best)
+        out.append(step.where("_taken"))
+        active = step.where("not _taken").drop("_taken")
+    return reduce(DataFrame.unionByName, [x.select(*named) for x in out])
