@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.llm.components import connected_groups
+from tarnwork.llm.leakage import leaked_passages
 from tarnwork.llm.splits import keep_together_splits, torn_entities
 from tarnwork.llm.topn import top_n_per_group
 from tarnwork.sources.tables import table
 
 LINK_RHO = 0.80
 TOP = 10
+LEAK_WORDS = 13
+LEAK_COVERAGE = 0.5
 
 
 def _patient(column: str) -> Column:
@@ -61,8 +64,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("component_key", F.col("vertex").alias("feature_key"))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ["prompt", "answer"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where(F.col("longest_run") >= LEAK_WORDS).select("doc_id", "item_id").distinct()
+
+
+def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks by coverage: parts of items of which tiles cover half or more, in whatever order, with their longest run."""
+    return _leaks(spark, sf_dir).where(F.col("coverage") >= LEAK_COVERAGE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_coverage": p6_coverage}
 
 
 _CLOSURE = """
