@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.llm.components import connected_groups
 from tarnwork.llm.leakage import leaked_passages
+from tarnwork.llm.pii import find_personal, redact
 from tarnwork.llm.splits import keep_together_splits, torn_entities
 from tarnwork.llm.topn import top_n_per_group
 from tarnwork.sources.tables import table
@@ -77,8 +78,21 @@ def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).where(F.col("coverage") >= LEAK_COVERAGE)
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_hints"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).select("doc_id", F.explode("found").alias("f")).select("doc_id", F.col("f.kind").alias("pii_type"), F.col("f.piece").alias("pii_text")).distinct()
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every notebook with placeholders for what p8_found finds."""
+    return redact(table(spark, sf_dir, "documents"), "doc_id", "text", _personal(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_coverage": p6_coverage}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_coverage": p6_coverage, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 _CLOSURE = """
