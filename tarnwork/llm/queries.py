@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.llm.components import connected_groups
 from tarnwork.llm.leakage import leaked_passages
+from tarnwork.llm.mixing import mix_to_targets
 from tarnwork.llm.pii import find_personal, redact
 from tarnwork.llm.splits import keep_together_splits, torn_entities
 from tarnwork.llm.topn import top_n_per_group
@@ -78,6 +79,25 @@ def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).where(F.col("coverage") >= LEAK_COVERAGE)
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").withColumn("owner", F.substring_index("repo", "/", 1))
+    return mix_to_targets(docs, "doc_id", "text", "source", ["owner", "layout", "kernel", "lang"], table(spark, sf_dir, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1].where("falls_short").select("source_name")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wished, reachable, fitted and actual share of each source."""
+    return _mix(spark, sf_dir)[1]
+
+
+def p7_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each notebook is drawn."""
+    return _mix(spark, sf_dir)[0]
+
+
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_hints"))
 
@@ -92,7 +112,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_coverage": p6_coverage, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_coverage": p6_coverage, "p7_found": p7_found, "p7_shares": p7_shares, "p7_draws": p7_draws, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 _CLOSURE = """
@@ -108,6 +128,10 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _CLOSURE,
         "p2_found": """select resample, component, feature_key from (select *, row_number() over (partition by resample, component order by s desc, feature_key) as rn
             from (select resample, component, feature_key, max(abs(loading)) as s from pca_top_loadings where loading is not null and not isnan(loading) and feature_key is not null group by all)) where rn <= 10""",
+        # no source is near its limit, so that characters give the answer that tokens give
+        "p7_found": r"""with own as (select regexp_replace(lower(trim(source)), '[\s-]', '_', 'g') as name, sum(length(coalesce(text, ''))) as n from documents group by all)
+            select source_name from mix_targets left join own on name = regexp_replace(lower(trim(source_name)), '[\s-]', '_', 'g')
+            where max_repeats * coalesce(n, 0) < target_share * (select sum(length(coalesce(text, ''))) from documents)""",
         "p3_found": r"""with recursive e as (select distinct upper(regexp_replace(feature_key_1, '^\s+|\s+$', '', 'g')) as u, upper(regexp_replace(feature_key_2, '^\s+|\s+$', '', 'g')) as v from redundancy_edges where abs(spearman_rho) >= 0.8 and not isnan(spearman_rho)),
             both_ways as (select u, v from e where u <> v union select v, u from e where u <> v),
             reach(u, v) as (select u, v from both_ways union select r.u, b.v from reach r join both_ways b on r.v = b.u)
