@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,11 +58,13 @@ def posteriors(rows: DataFrame, label: str, words: str, classes: int, train_rows
     It is fitted on the labelled rows, at most about train_rows of them picked by hash. A class without a labelled row
     has posterior 0; with fewer than two classes labelled, all is certain.
     """
-    marked = VectorAssembler(inputCols=["_hashed", "_shares"], outputCol="_x").transform(HashingTF(inputCol=words, outputCol="_hashed", numFeatures=1024, binary=True).transform(rows.withColumn("_shares", array_to_vector("shares"))))
     counts = {r[0]: r[1] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}  # a row a class
     if len(counts) < 2:
         sure = [1.0 if c in counts else 0.0 for c in range(classes)]
         return rows.withColumn("p", F.array(*map(F.lit, sure if counts else [1.0 / classes] * classes)))
+    sized = VectorSizeHint(inputCol="_shares", size=BINS, handleInvalid="optimistic").transform(rows.withColumn("_shares", array_to_vector("shares")))
+    hashed = HashingTF(inputCol=words, outputCol="_hashed", numFeatures=1024, binary=True).transform(sized)
+    marked = VectorAssembler(inputCols=["_hashed", "_shares"], outputCol="_x").transform(hashed)
     part = max(1, -(-sum(counts.values()) // train_rows))
     seen = sorted(counts)
     place = F.coalesce(*[F.when(F.col(label) == c, F.lit(float(i))) for i, c in enumerate(seen)])
