@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwork.plans import problems
+from tarnwork.plans import paired, problems
 
-MODULES = [problems]
+MODULES = [paired, problems]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
