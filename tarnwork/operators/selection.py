@@ -95,9 +95,13 @@ def paired_t_pairs(effect: str, alpha: float, power: float, most: int = 5000) ->
 
     normal = np.vectorize(lambda x: 0.5 * (1 + erf(x / sqrt(2))))
 
+    critical: dict[int, float] = {}
+
     def has_power(n: int, d: float) -> bool:
         df = n - 1
-        c = float(student_quantile(1 - alpha / 2, np.array([float(df)]))[0])
+        if n not in critical:
+            critical[n] = float(student_quantile(1 - alpha / 2, np.array([float(df)]))[0])
+        c = critical[n]
         s = 1 + 8 / sqrt(2 * df) * nodes  # scale around 1, of standard deviation 1 / sqrt(2 df)
         s, w = s[s > 0], weights[s > 0] * 8 / sqrt(2 * df)
         log_density = (1 - df / 2) * np.log(2.0) - lgamma(df / 2) + df * np.log(sqrt(df)) + (df - 1) * np.log(s) - df * s * s / 2

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwork.functions.columns import average_rank, benjamini_hochberg, cascade, clip, exact_binary_p, is_true, quantile_bin, usable
-from tarnwork.operators import enrichment, evaluation, inference, pairing, qc, robustness, selection
+from tarnwork.operators import enrichment, evaluation, inference, modelling, pairing, qc, robustness, selection
 from tarnwork.plans.problems import BATCH
 from tarnwork.sources.tables import table
 
@@ -524,6 +525,42 @@ def ml20(spark: SparkSession, d: str) -> DataFrame:
     return rounded(p.agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.when(F.col("t") > F.col("n"), 1.0).when(F.col("t") == F.col("n"), 0.5).otherwise(0.0)).alias("oriented")))
 
 
+@query("ml16_outer_predictions")
+def ml16(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out probabilities of the elastic-net model over one repeat of grouped folds."""
+    return modelling.outer_predictions(cells_of(spark, d), folds_of(spark, d).where("repeat = 0"))
+
+
+@query("ml21_prediction_influence", f"with {_COVERAGE}, s as (select o.entity, a.label, a.probability from (select distinct entity from cv) o, cv a where a.entity <> o.entity), w as (select entity, sum(label) as p, sum(1 - label) as n, sum(case when label = 1 then rk end) as rs from (select *, rank() over (partition by entity order by probability) + (count(*) over (partition by entity, probability) - 1) / 2 as rk from s) group by all), f as (select sum(label) as p, sum(1 - label) as n, sum(case when label = 1 then rk end) as rs from (select *, rank() over (order by probability) + (count(*) over (partition by probability) - 1) / 2 as rk from cv)) select entity, round((w.rs - w.p * (w.p + 1) / 2) / (w.p * w.n), 6) as auc_without, round((w.rs - w.p * (w.p + 1) / 2) / (w.p * w.n) - (f.rs - f.p * (f.p + 1) / 2) / (f.p * f.n), 6) as change from w, f")
+def ml21(spark: SparkSession, d: str) -> DataFrame:
+    """The coverage baseline's AUC without each entity in turn, from the counts at each probability less the entity's own."""
+    c = coverage_of(spark, d).where("entity is not null")
+    at = c.groupBy("probability").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    along = Window.partitionBy(F.lit(1)).orderBy("probability")  # one row a distinct share of a sample
+    at = at.withColumn("pos_above", F.sum("pos").over(Window.partitionBy(F.lit(1))) - F.sum("pos").over(along)).withColumn("neg_below", F.sum("neg").over(along) - F.col("neg"))
+    total = c.agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    won = at.agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("won"))
+    one = c.join(at, "probability").groupBy("entity").agg(F.sum("label").alias("op"), F.sum(1 - F.col("label")).alias("on"), F.sum(F.when(F.col("label") == 1, F.col("neg_below") + F.col("neg") / 2).otherwise(F.col("pos_above") + F.col("pos") / 2)).alias("lost"))
+    # wins between the entity's own samples are in both sums
+    own = c.select("entity", "probability", "label")
+    twice = own.where("label = 1").withColumnRenamed("probability", "a").join(own.where("label = 0").select("entity", F.col("probability").alias("b")), "entity").groupBy("entity").agg(F.sum(F.when(F.col("a") > F.col("b"), 1.0).when(F.col("a") == F.col("b"), 0.5).otherwise(0.0)).alias("twice"))
+    met = one.join(twice, "entity", "left").join(F.broadcast(total)).join(F.broadcast(won))
+    auc = F.try_divide(F.col("won") - F.col("lost") + F.coalesce("twice", F.lit(0.0)), (F.col("p") - F.col("op")) * (F.col("n") - F.col("on")))
+    return rounded(met.select("entity", auc.alias("auc_without"), (auc - F.col("won") / (F.col("p") * F.col("n"))).alias("change")))
+
+
+@query("ht1_change_components")
+def ht1(spark: SparkSession, d: str) -> DataFrame:
+    return modelling.change_components(pairs_of(spark, d), 0.5)[0]
+
+
+@query("ht5_cluster_stability")
+def ht5(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    vectors = e.select(F.col(e.columns[0]).alias("key"), F.col("embedding"))
+    return modelling.cluster_stability(vectors.select("key", array_to_vector(F.col("embedding").cast("array<double>")).alias("x")), "key", "x", [2, 3, 4], 2)
+
+
 # robustness and selection -------------------------------------------------------------------------------------------
 def universe(spark: SparkSession, d: str) -> DataFrame:
     cells = cells_of(spark, d)
