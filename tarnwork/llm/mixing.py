@@ -109,7 +109,7 @@ def draw_whole(rates: DataFrame) -> DataFrame:
     offsets = marked.where(open_).groupBy("domain", "band", "bucket").count().select("domain", "band", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     offsets = offsets.join(F.broadcast(spark.createDataFrame(more, "domain int, band int, more int")), ["domain", "band"]).where("before < more")
     place = F.row_number().over(Window.partitionBy("domain", "band", "bucket", open_).orderBy("q", "key"))
-    ranked = marked.withColumn("place", place).join(F.broadcast(offsets), ["domain", "band", "bucket"], "left")
+    ranked = marked.withColumn("place", place).join(offsets, ["domain", "band", "bucket"], "left")
     extra = F.coalesce(open_ & (F.col("before") + F.col("place") <= F.col("more")), F.lit(False)).cast("int")
     return ranked.withColumn("repeats", F.least(F.floor("rate") + extra, F.col("cap").cast("bigint")).cast("int")).select(*rates.columns, "repeats")
 
