@@ -26,7 +26,8 @@ def log2_strict(c: str) -> Column:
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    """c cut to low..high; NULL stays NULL, which greatest and least alone would turn into a bound."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
 def cascade(rules: list[tuple[Column, Column | str]], default: Column | str) -> Column:

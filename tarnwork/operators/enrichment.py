@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwork.functions.columns import benjamini_hochberg
+from tarnwork.functions.columns import benjamini_hochberg, clip
 from tarnwork.operators.qc import MAD_SCALE
 from tarnwork.session import stage
 
@@ -132,3 +132,22 @@ def sign_flip(scores: DataFrame, flips: int = 2000, seed: int = 1, most: int = 1
 
     out = arrays.mapInPandas(run, f"set_id {scores.schema['set_id'].dataType.simpleString()}, mean double, entities bigint, p double")
     return benjamini_hochberg(out, "p", "q", [], ["set_id"])
+
+
+def leading_edges(places: DataFrame, sets: DataFrame, scores: DataFrame) -> DataFrame:
+    """(set_id, symbol, statistic): the hits up to a set's peak, or from it on for negative scores."""
+    own = Window.partitionBy("set_id").orderBy("place")
+    hits = sets.select("set_id", "symbol").distinct().join(places.select("symbol", "statistic", "place"), "symbol").withColumn("hit", F.row_number().over(own))
+    met = hits.join(scores.select("set_id", "score", "size", "leading"), "set_id")
+    return met.where(F.when(F.col("score") >= 0, F.col("hit") <= F.col("leading")).otherwise(F.col("hit") > F.col("size") - F.col("leading"))).select("set_id", "symbol", "statistic")
+
+
+def integrate_views(ranked_sets: DataFrame, scored_sets: DataFrame, q: float = 0.05) -> DataFrame:
+    """Ranked and scored enrichment of sets side by side (full outer): do their directions agree, do both support, and the priority:
+    mean of the -log10 q that are there."""
+    a = ranked_sets.select("set_id", "nes", F.col("q").alias("ranked_q"))
+    met = a.join(scored_sets.select("set_id", "mean", F.col("q").alias("score_q")), "set_id", "full_outer")
+    strength = [-F.log10(clip(F.col(c), 1e-300, 1.0)) for c in ("ranked_q", "score_q")]
+    there = F.filter(F.array(*strength), lambda x: x.isNotNull())
+    both = F.coalesce((F.col("ranked_q") <= q) & (F.col("score_q") <= q), F.lit(False))
+    return met.withColumn("same_direction", F.coalesce(F.signum("nes") == F.signum("mean"), F.lit(False))).withColumn("supported_by_both", both).withColumn("priority", F.try_divide(F.aggregate(there, F.lit(0.0), lambda s, x: s + x), F.size(there)))

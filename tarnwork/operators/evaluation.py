@@ -71,11 +71,11 @@ def roc_auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
 
 
 def threshold_metrics(df: DataFrame, probability: str, label: str, threshold: Column, by: list[str]) -> DataFrame:
-    """Sensitivity, specificity, balanced accuracy, Brier score and log loss (probabilities cut to 1e-8..1-1e-8) per group."""
+    """Sensitivity, specificity, balanced accuracy, Brier score and log loss (probabilities cut to 1e-8..1-1e-8) per group; rows without a probability or label don't count."""
     p, y = F.col(probability), F.col(label)
     hit = (p >= threshold).cast("int")
     cut = F.least(F.greatest(p, F.lit(1e-8)), F.lit(1 - 1e-8))
-    m = df.groupBy(*by).agg(F.avg(F.when(y == 1, hit)).alias("sensitivity"), F.avg(F.when(y == 0, 1 - hit)).alias("specificity"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(-F.when(y == 1, F.log(cut)).otherwise(F.log(1 - cut))).alias("log_loss"))
+    m = df.where(p.isNotNull() & y.isNotNull()).groupBy(*by).agg(F.avg(F.when(y == 1, hit)).alias("sensitivity"), F.avg(F.when(y == 0, 1 - hit)).alias("specificity"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(-F.when(y == 1, F.log(cut)).otherwise(F.log(1 - cut))).alias("log_loss"))
     return m.withColumn("balanced_accuracy", (F.col("sensitivity") + F.col("specificity")) / 2)
 
 
@@ -90,3 +90,24 @@ def best_threshold(df: DataFrame, probability: str, label: str) -> DataFrame:
     at = at.withColumn("tp", F.sum("pos").over(w.orderBy(F.desc("t")))).withColumn("fp", F.sum("neg").over(w.orderBy(F.desc("t")))).withColumn("p", F.sum("pos").over(w)).withColumn("n", F.sum("neg").over(w))
     at = at.withColumn("balanced_accuracy", (F.col("tp") / F.col("p") + 1 - F.col("fp") / F.col("n")) / 2)
     return at.orderBy(F.desc(F.round("balanced_accuracy", 12)), F.round(F.abs(F.col("t") - 0.5), 12), F.desc("t")).limit(1).select(F.col("t").alias("threshold"), "balanced_accuracy")
+
+
+def label_swap_test(pairs: DataFrame, entity: str, difference: str, permutations: int, seed: int) -> DataFrame:
+    """(pairs, observed, p): is the mean difference of pairs larger than under swapped labels?
+
+    A permutation swaps the two labels of an entity where the first hex digit of md5(entity:permutation:seed) is odd. Each row
+    meets a fixed number of permutations and is summed at once.
+    """
+    rows = pairs.where(F.col(difference).isNotNull()).select(F.col(entity).alias("e"), F.col(difference).alias("d"))
+    drawn = rows.select("e", "d", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("i"))
+    odd = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("e").cast("string"), F.col("i").cast("string"), F.lit(str(seed)))), 1, 1), 16, 10).cast("int") % 2 == 1
+    null = drawn.groupBy("i").agg(F.avg(F.when(odd, -F.col("d")).otherwise(F.col("d"))).alias("m"))
+    seen = rows.agg(F.count(F.lit(1)).alias("pairs"), F.avg("d").alias("observed"))
+    met = null.join(F.broadcast(seen))
+    return met.groupBy("pairs", "observed").agg(((F.count_if(F.round(F.abs("m"), 12) >= F.round(F.abs("observed"), 12)) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+
+
+def choose_setting(results: DataFrame, by: list[str]) -> DataFrame:
+    """The best row of each group: accuracy (largest), then c, panel (smallest), l1 (largest), k (smallest); missing ones last."""
+    order = [F.desc_nulls_last("accuracy"), F.asc_nulls_last("c"), F.asc_nulls_last("panel"), F.desc_nulls_last("l1"), F.asc_nulls_last("k")]
+    return results.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.operators.evaluation import fit_transformer, guard_split
+from tarnwork.operators.evaluation import fit_transformer, guard_split, threshold_metrics
 from tarnwork.operators.qc import MAD_SCALE
 from tarnwork.session import stage
 
@@ -95,3 +95,21 @@ def cluster_stability(vectors: DataFrame, key: str, x: str, ks: list[int], resam
             stable += [max(n / (size_a[a] + size_b[b] - n) for (p, b), n in counts.items() if p == a) for a in size_a]
         out.append((k, float(silhouette), int(smallest), float(sum(stable) / len(stable)) if stable else None))
     return spark.createDataFrame(out, "k int, silhouette double, smallest bigint, stability double")
+
+
+def calibrate(fitted_on: DataFrame, judged: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """judged with probability: a logistic curve of the score (Platt), fitted on other rows, cut to 1e-8..1-1e-8."""
+    vector = lambda df: df.withColumn("_s", array_to_vector(F.array(score)))
+    model = LogisticRegression(featuresCol="_s", labelCol=label, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y").fit(vector(fitted_on))
+    p = F.least(F.greatest(vector_to_array("_p")[1], F.lit(1e-8)), F.lit(1 - 1e-8))
+    return model.transform(vector(judged)).withColumn("probability", p).drop("_s", "_p", "_r", "_y")
+
+
+def tune(cells: DataFrame, folds: DataFrame, grid: list[dict], model: str = "elastic_net") -> DataFrame:
+    """(c, l1, k, accuracy) for each setting of the grid: balanced accuracy of its outer predictions over the given (inner) folds."""
+    out = []
+    for g in grid:
+        p = outer_predictions(cells, folds, model, g["c"], g.get("l1", 0.0), g["k"])
+        m = threshold_metrics(p, "score", "label", F.lit(0.5 if model == "elastic_net" else 0.0), []).first()
+        out.append((float(g["c"]), float(g.get("l1", 0.0)), int(g["k"]), None, float(m.balanced_accuracy)))
+    return cells.sparkSession.createDataFrame(out, "c double, l1 double, k int, panel int, accuracy double")

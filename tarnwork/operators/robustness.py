@@ -53,3 +53,15 @@ def leave_one_out(pairs: DataFrame) -> DataFrame:
     one = rows.join(sums, "feature_key").withColumn("without", (F.col("s") - F.col("delta")) / (F.col("c") - 1)).withColumn("all", F.col("s") / F.col("c"))
     one = one.withColumn("change", F.round(F.abs(F.col("without") - F.col("all")), 12))
     return one.groupBy("feature_key").agg(F.first("all").alias("mean"), F.first("c").alias("pairs"), F.min("without").alias("least"), F.max("without").alias("greatest"), F.min(F.struct((-F.col("change")).alias("c"), "entity")).alias("w"), F.bool_or(F.signum("without") != F.signum("all")).alias("flips")).select("feature_key", "mean", "pairs", "least", "greatest", F.col("w.entity").alias("worst_entity"), (-F.col("w.c")).alias("worst_change"), "flips")
+
+
+def scenario_similarity(universe: DataFrame) -> DataFrame:
+    """(scenario_a, scenario_b, features, statistic_rho, effect_rho): Spearman's rho of all pairs of scenarios over the features
+    eligible in both, ranked again within each pair. The number of scenarios is a setting; features are joined by key."""
+    u = stage(universe.where("statistic is not null").select("scenario_id", "feature_key", "statistic", "mean"), "similarity-rows")
+    a = u.select("feature_key", F.col("scenario_id").alias("scenario_a"), F.col("statistic").alias("sa"), F.col("mean").alias("ma"))
+    b = u.select("feature_key", F.col("scenario_id").alias("scenario_b"), F.col("statistic").alias("sb"), F.col("mean").alias("mb"))
+    met = a.join(b, "feature_key").where("scenario_a < scenario_b")
+    by = ["scenario_a", "scenario_b"]
+    ranks = met.select(*by, *[average_rank(c, by).alias(f"r_{c}") for c in ("sa", "sb", "ma", "mb")])
+    return ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("features"), F.corr("r_sa", "r_sb").alias("statistic_rho"), F.corr("r_ma", "r_mb").alias("effect_rho"))

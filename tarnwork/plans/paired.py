@@ -453,6 +453,28 @@ def pw5(spark: SparkSession, d: str) -> DataFrame:
     return enrichment.sign_flip(enrichment.set_scores(pairs, sets_of(spark, d), entities, 1))
 
 
+def complete_members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pairs = pairs_of(spark, d).where("delta is not null")
+    return pairs, sets_of(spark, d), pairs.groupBy("feature_key").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("entities"))
+
+
+@query("pw4_set_scores", f"with {PAIRS}, dl as (select feature_key, entity, delta from pairs where delta is not null), per as (select feature_key, count(*) as c, median(delta) as m, stddev_samp(delta) as sd from dl group by all), whole as (select * from per where c = (select max(c) from per)), ma as (select feature_key, median(abs(delta - m)) as mad from dl join whole using (feature_key) group by all), sc as (select feature_key, entity, delta / coalesce(case when mad > 0 then mad * 1.4826 end, case when sd > 0 then sd end, 1.0) as scaled from dl join whole using (feature_key) join ma using (feature_key)), me as (select distinct source_sheet as set_id, feature_key from feature_manifest where feature_id_original is not null) select set_id, entity, round(avg(scaled), 6) as score, count(*) as features from me join sc using (feature_key) group by all")
+def pw4(spark: SparkSession, d: str) -> DataFrame:
+    pairs, members, entities = complete_members(spark, d)
+    return rounded(enrichment.set_scores(pairs, members, entities, 1))
+
+
+@query("pw6_integrated_views")
+def pw6(spark: SparkSession, d: str) -> DataFrame:
+    return enrichment.integrate_views(pw3(spark, d), pw5(spark, d))
+
+
+@query("pw7_leading_edges")
+def pw7(spark: SparkSession, d: str) -> DataFrame:
+    places, sets = enrichment.ranked(ranking_of(spark, d)), sets_of(spark, d)
+    return enrichment.leading_edges(places, sets, enrichment.enrichment_scores(places, sets, 3, 500))
+
+
 # evaluation -----------------------------------------------------------------------------------------------------
 FOLDS, REPEATS, SEED = 6, 3, 42
 _FOLDS = f"fl as (select repeat, entity, cast((row_number() over (partition by repeat order by md5(entity || ':' || (repeat * 1009 + {SEED})), entity) - 1) % {FOLDS} as integer) as outer_fold from (select distinct entity from cells), (select cast(range as integer) as repeat from range({REPEATS})))"
@@ -561,6 +583,34 @@ def ht5(spark: SparkSession, d: str) -> DataFrame:
     return modelling.cluster_stability(vectors.select("key", array_to_vector(F.col("embedding").cast("array<double>")).alias("x")), "key", "x", [2, 3, 4], 2)
 
 
+@query("ml17_label_swap", f"with {_COVERAGE}, p as (select entity, max(probability) filter (label = 1) - max(probability) filter (label = 0) as d from cv group by all having d is not null), n as (select i, avg(case when ascii(upper(substr(md5(entity || ':' || i || ':7'), 1, 1))) % 2 = (case when substr(md5(entity || ':' || i || ':7'), 1, 1) in ('a', 'b', 'c', 'd', 'e', 'f') then 0 else 1 end) then -d else d end) as m from p, (select cast(range as integer) as i from range(1, 201)) group by all), s as (select count(*) as pairs, avg(d) as observed from p) select pairs, round(observed, 6) as observed, round((count(*) filter (round(abs(m), 12) >= round(abs(observed), 12)) + 1) / 201, 6) as p from n, s group by pairs, observed")
+def ml17(spark: SparkSession, d: str) -> DataFrame:
+    """Is coverage of T above that of N within pairs, against 200 swaps of the labels?"""
+    p = coverage_of(spark, d).groupBy("entity").agg((F.max(F.when(F.col("label") == 1, F.col("probability"))) - F.max(F.when(F.col("label") == 0, F.col("probability")))).alias("d"))
+    return rounded(evaluation.label_swap_test(p, "entity", "d", 200, 7))
+
+
+@query("st11_robust_distance")
+def st11(spark: SparkSession, d: str) -> DataFrame:
+    features = table(spark, d, "feature_manifest").agg(F.count_distinct("feature_key").alias("features"))
+    return qc.robust_distance(qc.sample_profiles(cells_of(spark, d), features), "sample_id", ["observed_fraction", "median", "iqr", "mad", "p05", "p95"])
+
+
+@query("top5_loadings", "select resample, component, feature_key, loading, cast(rank_by_size as integer) as rank_by_size from (select *, row_number() over (partition by resample, component order by abs(loading) desc, feature_key, loading desc) as rank_by_size from (select distinct resample, component, feature_key, loading from pca_top_loadings where loading is not null and not isnan(loading))) where rank_by_size <= 30")
+def top5(spark: SparkSession, d: str) -> DataFrame:
+    """30 largest loadings of a component with their rank. Spark keeps 30 rows a group in each task before the shuffle."""
+    rows = table(spark, d, "pca_top_loadings").where("loading is not null and not isnan(loading)").select("resample", "component", "feature_key", "loading").distinct()
+    rank = F.row_number().over(Window.partitionBy("resample", "component").orderBy(F.desc(F.abs("loading")), "feature_key", F.desc("loading")))
+    return rows.withColumn("rank_by_size", rank).where("rank_by_size <= 30")
+
+
+@query("prj13_cohort")
+def prj13(spark: SparkSession, d: str) -> DataFrame:
+    """Paired deltas of the cohort without flagged pairs, whole pairs at a time."""
+    flagged = st15(spark, d).where("pair_flagged").select("entity")
+    return rounded(pairs_of(spark, d).join(flagged, "entity", "left_anti").groupBy("entity").agg(F.count("delta").alias("pairs"), F.median("delta").alias("median_change")))
+
+
 # robustness and selection -------------------------------------------------------------------------------------------
 def universe(spark: SparkSession, d: str) -> DataFrame:
     cells = cells_of(spark, d)
@@ -582,6 +632,21 @@ def rb2(spark: SparkSession, d: str) -> DataFrame:
     return u.groupBy("feature_key").agg(F.count(F.lit(1)).alias("runs"), F.greatest(F.avg((F.col("mean") > 0).cast("int")), F.avg((F.col("mean") < 0).cast("int"))).alias("sign_agreement"), F.avg(is_true(F.col("q") <= Q).cast("int")).alias("discovered"), F.avg(F.col("core").cast("int")).alias("core"), F.min("mean").alias("least"), F.median("mean").alias("median"), F.max("mean").alias("greatest"), F.stddev_samp("rank_percent").alias("rank_sd"))
 
 
+@query("rb3_scenario_similarity")
+def rb3(spark: SparkSession, d: str) -> DataFrame:
+    return robustness.scenario_similarity(universe(spark, d))
+
+
+@query("rb5_integrated_evidence")
+def rb5(spark: SparkSession, d: str) -> DataFrame:
+    """Tiers beside stability over scenarios and over left-out entities; missing evidence stays missing."""
+    tiers, stable = st8(spark, d), rb2(spark, d).select("feature_key", "runs", "sign_agreement", "core")
+    loo = robustness.leave_one_out(pairs_of(spark, d)).select("feature_key", "flips", "worst_change")
+    met = tiers.join(stable, "feature_key", "left").join(loo, "feature_key", "left")
+    robust = is_true((F.col("core") >= 0.8) & (F.col("sign_agreement") >= 0.8) & ~F.col("flips"))
+    return met.withColumn("priority", cascade([(robust & F.col("tier").isin("A", "B"), "high"), (F.col("tier") != "none", "single"), (robust, "stable only")], "none"))
+
+
 @query("vr2_pareto_fronts")
 def vr2(spark: SparkSession, d: str) -> DataFrame:
     """Fronts of features by pairs, |mean| (tenths) and consistency (tenths), within a sheet."""

@@ -164,3 +164,31 @@ def test_cluster_stability(spark):
     df = spark.createDataFrame(rows, "id int, x array<double>").select("id", array_to_vector("x").alias("x"))
     got = modelling.cluster_stability(df, "id", "x", [2], 2).first()
     assert got.stability == 1.0 and got.silhouette > 0.9 and got.smallest == 30
+
+
+def test_robust_distance_finds_the_outlier(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, rng.multivariate_normal([0, 0], [[1, 0.9], [0.9, 1]]))) for i in range(80)] + [(99, 2.0, -2.0), (100, None, 0.0)]
+    got = {r.id: r.distance for r in qc.robust_distance(spark.createDataFrame(rows, "id int, a double, b double"), "id", ["a", "b"]).collect()}
+    assert len(got) == 82 and max(got, key=got.get) == 99 and got[99] > 5
+
+
+def test_views_edges_similarity(spark):
+    a = spark.createDataFrame([("s", 1.5, 0.01), ("t", -1.0, 0.2)], "set_id string, nes double, q double")
+    b = spark.createDataFrame([("s", 0.5, 0.02), ("u", 0.1, 0.001)], "set_id string, mean double, q double")
+    got = {r.set_id: r for r in enrichment.integrate_views(a, b).collect()}
+    assert got["s"].supported_by_both and got["s"].same_direction and not got["t"].supported_by_both and got["u"].priority == pytest.approx(3)
+    u = spark.createDataFrame([(s, f"f{i}", float(i if s != "c" else -i), 1.0 * i) for s in "abc" for i in range(5)], "scenario_id string, feature_key string, statistic double, mean double")
+    sim = {(r.scenario_a, r.scenario_b): r for r in robustness.scenario_similarity(u).collect()}
+    assert len(sim) == 3 and sim["a", "b"].statistic_rho == pytest.approx(1) and sim["a", "c"].statistic_rho == pytest.approx(-1)
+
+
+def test_tuning_calibration_and_choice(spark):
+    cells = measurements(spark, features=6, entities=12, shift=4.0)
+    tuned = modelling.tune(cells, evaluation.hash_folds(cells, "entity", 2, 1, 3), [{"c": 1.0, "l1": 0.5, "k": 2}])
+    assert tuned.first().accuracy > 0.7
+    grid = spark.createDataFrame([(1, 0.9, 1.0, 5, 0.5, 10), (1, 0.9, 0.1, 5, 0.5, 10), (1, None, 0.01, 1, 1.0, 1), (2, 0.5, 1.0, None, 0.1, 3)], "g int, accuracy double, c double, panel int, l1 double, k int")
+    assert {r.g: r.c for r in evaluation.choose_setting(grid, ["g"]).collect()} == {1: 0.1, 2: 1.0}
+    rows = spark.createDataFrame([(float(x), int(x + (i % 3 - 1) * 2 > 0)) for i, x in enumerate(range(-20, 20))], "score double, label int")
+    p = [r.probability for r in modelling.calibrate(rows, rows).orderBy("score").collect()]
+    assert p == sorted(p) and p[0] < 0.05 and p[-1] > 0.95
