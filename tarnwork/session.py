@@ -27,7 +27,7 @@ def get_spark(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g")
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Only a local session without that setting gets a temporary one."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if named:
         return str(named).rstrip("/")
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
