@@ -16,8 +16,8 @@ def is_true(c: Column) -> Column:
 
 
 def usable(c: str) -> Column:
-    """Finite and strictly positive."""
-    return is_true(F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) > 0) & (F.col(c) < float("inf")))
+    """Finite and strictly positive; never NULL, as NULL already fails the first term. Plain terms, so that scans can take them."""
+    return F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) > 0) & (F.col(c) < float("inf"))
 
 
 def log2_strict(c: str) -> Column:
@@ -79,9 +79,10 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, family: list[str], tie:
 
 
 def average_rank(value: str, by: list[str]) -> Column:
-    """Average rank of ties, from 1; NULL for NULL. For groups of bounded size."""
-    w = Window.partitionBy(*by, F.col(value).isNull())
-    return F.when(F.col(value).isNotNull(), F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2)
+    """Average rank of ties, from 1; NULL for NULL. For groups of bounded size; ranks in one group share an exchange."""
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(value))
+    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2)
 
 
 def quantile_bin(value: str, edges: Column) -> Column:
