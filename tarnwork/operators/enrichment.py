@@ -15,35 +15,36 @@ from tarnwork.operators.qc import MAD_SCALE
 from tarnwork.session import stage
 
 
-def collapse_ranking(stats: DataFrame, symbol: str, statistic: str, key: str) -> DataFrame:
-    """One row a symbol: that of largest |statistic|, ties to the smaller key; NULL and compound (';') symbols and NULL statistics left out."""
+def collapse_ranking(stats: DataFrame, symbol: str, statistic: str, key: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row a symbol (of each ranking that `by` names): that of largest |statistic|, ties to the smaller key; NULL and compound (';') symbols and NULL statistics left out."""
     rows = stats.where(F.col(symbol).isNotNull() & (F.trim(symbol) != "") & ~F.contains(F.col(symbol), F.lit(";")) & F.col(statistic).isNotNull())
-    best = rows.groupBy(F.trim(symbol).alias("symbol")).agg(F.min(F.struct((-F.abs(statistic)).alias("a"), F.col(key).alias("key"), F.col(statistic).alias("statistic"))).alias("b"), F.count(F.lit(1)).alias("members"))
-    return best.select("symbol", F.col("b.key").alias("key"), F.col("b.statistic").alias("statistic"), "members")
+    best = rows.groupBy(*by, F.trim(symbol).alias("symbol")).agg(F.min(F.struct((-F.abs(statistic)).alias("a"), F.col(key).alias("key"), F.col(statistic).alias("statistic"))).alias("b"), F.count(F.lit(1)).alias("members"))
+    return best.select(*by, "symbol", F.col("b.key").alias("key"), F.col("b.statistic").alias("statistic"), "members")
 
 
-def ranked(ranking: DataFrame) -> DataFrame:
-    """ranking with place (1 = largest statistic, ties by symbol) and n, by bucket offsets: no sort in one task."""
+def ranked(ranking: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """ranking with place (1 = largest statistic, ties by symbol) and n within each value of `by`, by bucket offsets: no sort in one task."""
     ranking = stage(ranking, "ranking")
     edges = ranking.approxQuantile("statistic", [i / 64 for i in range(1, 64)], 0.01)
     bucket = F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]), lambda e: e >= F.col("statistic"))) if edges else F.lit(0)
     rows = ranking.withColumn("_b", bucket)
-    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(F.lit(1)).orderBy("_b")  # at most 64 rows
-    counts = counts.withColumn("_before", F.sum("_c").over(before) - F.col("_c")).withColumn("n", F.sum("_c").over(Window.partitionBy(F.lit(1))))
-    place = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("statistic"), "symbol"))
-    return stage(rows.join(F.broadcast(counts), "_b").withColumn("place", place + F.col("_before")).select(*ranking.columns, "place", "n"), "ranking")
+    counts = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    one = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    before = one.orderBy("_b")  # at most 64 rows
+    counts = counts.withColumn("_before", F.sum("_c").over(before) - F.col("_c")).withColumn("n", F.sum("_c").over(one))
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(F.desc("statistic"), "symbol"))
+    return stage(rows.join(counts, [*by, "_b"]).withColumn("place", place + F.col("_before")).select(*ranking.columns, "place", "n"), "ranking")
 
 
-def enrichment_scores(places: DataFrame, sets: DataFrame, smallest: int, largest: int) -> DataFrame:
+def enrichment_scores(places: DataFrame, sets: DataFrame, smallest: int, largest: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Running-sum score of every set over a ranking (symbol, statistic, place, n), looked at where it has its extremes: at the hits.
 
     sets has set_id, symbol. A hit adds |statistic| / their sum (equal parts if that is 0), a miss takes 1 / (n - size). The
     score is the highest value after a hit, or the lowest before one if that is further from 0. Sets outside
     smallest..largest ranked members, or of all members, are left out. leading counts the hits up to the peak, or from it on if the score is negative.
     """
-    hits = sets.select("set_id", "symbol").distinct().join(places.select("symbol", "statistic", "place", "n"), "symbol")
-    own = Window.partitionBy("set_id")
+    hits = sets.select("set_id", "symbol").distinct().join(places.select(*by, "symbol", "statistic", "place", "n"), "symbol")
+    own = Window.partitionBy(*by, "set_id")
     size = F.count(F.lit(1)).over(own)
     hits = hits.withColumn("size", size).where((F.col("size") >= smallest) & (F.col("size") <= largest) & (F.col("size") < F.col("n")))
     total = F.sum(F.abs("statistic")).over(own)
@@ -52,9 +53,9 @@ def enrichment_scores(places: DataFrame, sets: DataFrame, smallest: int, largest
     hits = hits.withColumn("hit", F.row_number().over(own.orderBy("place")))
     after = F.sum("w").over(along) - (F.col("place") - F.col("hit")) / (F.col("n") - F.col("size"))
     hits = hits.withColumn("after", after).withColumn("before", F.col("after") - F.col("w"))
-    s = hits.groupBy("set_id", "size").agg(F.max(F.struct("after", (-F.col("hit")).alias("h"))).alias("up"), F.min(F.struct("before", "hit")).alias("down"))
+    s = hits.groupBy(*by, "set_id", "size").agg(F.max(F.struct("after", (-F.col("hit")).alias("h"))).alias("up"), F.min(F.struct("before", "hit")).alias("down"))
     high = F.abs(F.col("up.after")) >= F.abs(F.col("down.before"))
-    return s.select("set_id", "size", F.when(high, F.col("up.after")).otherwise(F.col("down.before")).alias("score"), F.when(high, -F.col("up.h")).otherwise(F.col("size") - F.col("down.hit") + 1).alias("leading"))
+    return s.select(*by, "set_id", "size", F.when(high, F.col("up.after")).otherwise(F.col("down.before")).alias("score"), F.when(high, -F.col("up.h")).otherwise(F.col("size") - F.col("down.hit") + 1).alias("leading"))
 
 
 def enrichment_null(places: DataFrame, scores: DataFrame, permutations: int = 200, seed: int = 1, longest: int = 200_000) -> DataFrame:
@@ -134,12 +135,31 @@ def sign_flip(scores: DataFrame, flips: int = 2000, seed: int = 1, most: int = 1
     return benjamini_hochberg(out, "p", "q", [], ["set_id"])
 
 
-def leading_edges(places: DataFrame, sets: DataFrame, scores: DataFrame) -> DataFrame:
-    """(set_id, symbol, statistic): the hits up to a set's peak, or from it on for negative scores."""
-    own = Window.partitionBy("set_id").orderBy("place")
-    hits = sets.select("set_id", "symbol").distinct().join(places.select("symbol", "statistic", "place"), "symbol").withColumn("hit", F.row_number().over(own))
-    met = hits.join(scores.select("set_id", "score", "size", "leading"), "set_id")
-    return met.where(F.when(F.col("score") >= 0, F.col("hit") <= F.col("leading")).otherwise(F.col("hit") > F.col("size") - F.col("leading"))).select("set_id", "symbol", "statistic")
+def leading_edges(places: DataFrame, sets: DataFrame, scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, set_id, symbol, statistic): the hits up to a set's peak, or from it on for negative scores."""
+    own = Window.partitionBy(*by, "set_id").orderBy("place")
+    hits = sets.select("set_id", "symbol").distinct().join(places.select(*by, "symbol", "statistic", "place"), "symbol").withColumn("hit", F.row_number().over(own))
+    met = hits.join(scores.select(*by, "set_id", "score", "size", "leading"), [*by, "set_id"])
+    return met.where(F.when(F.col("score") >= 0, F.col("hit") <= F.col("leading")).otherwise(F.col("hit") > F.col("size") - F.col("leading"))).select(*by, "set_id", "symbol", "statistic")
+
+
+def scenario_sensitivity(ranking: DataFrame, sets: DataFrame, scenario: str, primary: str, smallest: int, largest: int) -> DataFrame:
+    """(scenario, set_id, score, same_direction, edge_jaccard): every set's score over each scenario's ranking, whether its sign is that of
+    the primary scenario, and the Jaccard index of the two leading edges; sets that the primary scenario lacks have NULL in both.
+
+    ranking has scenario, symbol, statistic. All scenarios are ranked in one pass.
+    """
+    by = (scenario,)
+    places = ranked(ranking, by)
+    scores = stage(enrichment_scores(places, sets, smallest, largest, by), "sensitivity-scores")
+    edges = stage(leading_edges(places, sets, scores, by), "sensitivity-edges")
+    first = edges.where(F.col(scenario) == primary).select("set_id", "symbol", F.lit(1).alias("in_primary"))
+    shared = edges.join(first, ["set_id", "symbol"], "left").groupBy(scenario, "set_id").agg(F.count(F.lit(1)).alias("own"), F.count("in_primary").alias("both"))
+    sizes = first.groupBy("set_id").agg(F.count(F.lit(1)).alias("other"))
+    reference = scores.where(F.col(scenario) == primary).select("set_id", F.col("score").alias("primary_score"))
+    met = scores.join(shared, [scenario, "set_id"], "left").join(reference, "set_id", "left").join(sizes, "set_id", "left")
+    jaccard = F.try_divide(F.coalesce("both", F.lit(0)), F.coalesce("own", F.lit(0)) + F.col("other") - F.coalesce("both", F.lit(0)))
+    return met.select(scenario, "set_id", "score", (F.signum("score") == F.signum("primary_score")).alias("same_direction"), jaccard.alias("edge_jaccard"))
 
 
 def integrate_views(ranked_sets: DataFrame, scored_sets: DataFrame, q: float = 0.05) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,12 +34,12 @@ def guard_split(train: DataFrame, test: DataFrame, entity: str) -> None:
         raise LeakageError("an entity is in training and in test")
 
 
-def fit_transformer(cells: DataFrame, folds: DataFrame, least_observed: float, least_class: float, most: int) -> DataFrame:
+def fit_transformer(cells: DataFrame, folds: DataFrame, least_observed: float, least_class: float, most: int, order: str = "score") -> DataFrame:
     """(repeat, outer_fold, feature_rank, feature_key, median, mean, scale, score): for each fold, fitted on the other folds' entities.
 
     cells has feature_key, entity, cond, y. Features need their observed share overall and in either condition; missing values
     count as the median in mean and scale (population), features of scale 0 are dropped, and the `most` of largest
-    standardised difference between conditions stay, ties to the smaller key. A fold is fitted from sums: all rows are
+    standardised difference between conditions stay (order="scale": of largest spread), ties to the smaller key. A fold is fitted from sums: all rows are
     aggregated once per (repeat, fold, feature), with the fold's own entities left out by a join on entity.
     """
     count = folds.groupBy("repeat").agg(F.max("outer_fold").alias("last"))
@@ -51,7 +55,7 @@ def fit_transformer(cells: DataFrame, folds: DataFrame, least_observed: float, l
     s = s.withColumn("mean", (F.col("sn") + F.col("st") + (fill_n + fill_t) * F.col("median")) / F.col("all"))
     s = s.withColumn("scale", F.sqrt(F.greatest((F.col("ss") + (fill_n + fill_t) * F.col("median") * F.col("median")) / F.col("all") - F.col("mean") * F.col("mean"), F.lit(0.0))))
     s = s.where(F.col("scale") > 1e-9).withColumn("score", F.abs(F.col("mean_t") - F.col("mean_n")) / F.col("scale"))
-    rank = F.row_number().over(Window.partitionBy("repeat", "outer_fold").orderBy(F.desc(F.round("score", 9)), "feature_key"))
+    rank = F.row_number().over(Window.partitionBy("repeat", "outer_fold").orderBy(F.desc(F.round(order, 9)), "feature_key"))
     return s.withColumn("feature_rank", rank).where(F.col("feature_rank") <= most).select("repeat", "outer_fold", "feature_rank", "feature_key", "median", "mean", "scale", "score")
 
 
@@ -111,3 +115,30 @@ def choose_setting(results: DataFrame, by: list[str]) -> DataFrame:
     """The best row of each group: accuracy (largest), then c, panel (smallest), l1 (largest), k (smallest); missing ones last."""
     order = [F.desc_nulls_last("accuracy"), F.asc_nulls_last("c"), F.asc_nulls_last("panel"), F.desc_nulls_last("l1"), F.asc_nulls_last("k")]
     return results.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def fold_aucs(df: DataFrame, score: str, label: str, by: list[str], view: str) -> DataFrame:
+    """(view, folds, least, median, greatest, wins): the area under the curve of each view over the folds that `by` names, and in how
+    many of them it is the best (ties to the smaller view). Folds where an area is undefined don't count for that view."""
+    areas = roc_auc(df, score, label, [*by, view]).where("roc_auc is not null").withColumn("roc_auc", F.round("roc_auc", 9))
+    best = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("roc_auc"), view)) == 1
+    return areas.withColumn("best", best).groupBy(view).agg(F.count(F.lit(1)).alias("folds"), F.min("roc_auc").alias("least"), F.median("roc_auc").alias("median"), F.max("roc_auc").alias("greatest"), F.count_if("best").alias("wins"))
+
+
+def overlap_control(universe: DataFrame, key: str, first: str, second: str, draws: int, seed: int) -> DataFrame:
+    """(keys, first_size, second_size, observed, null_median, null_max, p): do two flagged subsets of the keys overlap more than random ones?
+
+    Flags that are NULL are false. A draw of random subsets of the same sizes has a hypergeometric overlap, so each draw is one
+    number from the three counts, in parallel over draws; p = (1 + draws of at least the observed overlap) / (1 + draws).
+    """
+    a, b = (F.coalesce(F.col(c), F.lit(False)) for c in (first, second))
+    sizes = universe.where(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("keys"), F.count_if(a).alias("first_size"), F.count_if(b).alias("second_size"), F.count_if(a & b).alias("observed"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f["overlap"] = [int(np.random.default_rng([seed, i]).hypergeometric(good, total - good, tried)) if tried else 0 for i, total, good, tried in zip(f["i"], f["keys"], f["first_size"], f["second_size"])]
+            yield f
+
+    drawn = sizes.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i")).mapInPandas(run, "keys bigint, first_size bigint, second_size bigint, observed bigint, i int, overlap bigint")
+    p = (F.count_if(F.col("overlap") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)
+    return drawn.groupBy("keys", "first_size", "second_size", "observed").agg(F.median("overlap").alias("null_median"), F.max("overlap").alias("null_max"), p.alias("p"))

@@ -692,6 +692,68 @@ def snk5(spark: SparkSession, d: str) -> DataFrame:
     return pairs_of(spark, d).join(table(spark, d, "feature_manifest").select("feature_key", "source_sheet"), "feature_key").groupBy("source_sheet").agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("state") == 3).alias("complete"))
 
 
+# baselines, influence and controls --------------------------------------------------------------------------------------
+def one_repeat(spark: SparkSession, d: str) -> DataFrame:
+    return folds_of(spark, d).where("repeat = 0")
+
+
+@query("ml13_pca_baseline")
+def ml13(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out areas under the curve of the component baseline, fold by fold."""
+    return evaluation.roc_auc(modelling.outer_predictions(cells_of(spark, d), one_repeat(spark, d), "pca", most=100), "score", "label", ["repeat", "outer_fold"])
+
+
+@query("ml15_heldout_importance")
+def ml15(spark: SparkSession, d: str) -> DataFrame:
+    return modelling.heldout_importance(cells_of(spark, d), one_repeat(spark, d))
+
+
+@query("ml18_learning_curve")
+def ml18(spark: SparkSession, d: str) -> DataFrame:
+    return modelling.learning_curve(cells_of(spark, d), one_repeat(spark, d), FOLDS - 1)
+
+
+@query("ml22_view_winners", f"""with {CELLS}, {_FOLDS}, {_COVERAGE}, vw as (select entity, label, 'coverage' as view, probability as score from cv union all select entity, cast(cond = 'T' as integer), 'median', round(median(y), 9) from cells group by sample_id, entity, cond),
+r as (select repeat, outer_fold, view, label, rank() over (partition by repeat, outer_fold, view order by score) + (count(*) over (partition by repeat, outer_fold, view, score) - 1) / 2 as rk from vw join fl using (entity)),
+a as (select repeat, outer_fold, view, round((sum(rk) filter (label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)), 9) as auc from r group by all having sum(label) > 0 and sum(1 - label) > 0),
+b as (select *, row_number() over (partition by repeat, outer_fold order by auc desc, view) = 1 as best from a)
+select view, count(*) as folds, round(min(auc), 6) as least, round(median(auc), 6) as median, round(max(auc), 6) as greatest, count(*) filter (best) as wins from b group by view""")
+def ml22(spark: SparkSession, d: str) -> DataFrame:
+    """Which single-number view of a sample, coverage or median, tells the conditions apart better, over all folds of all repeats."""
+    cells = cells_of(spark, d)
+    medians = cells.groupBy("sample_id", "entity", "cond").agg(F.round(F.median("y"), 9).alias("score"))
+    views = coverage_of(spark, d).select("entity", "label", F.lit("coverage").alias("view"), F.col("probability").alias("score")).unionByName(medians.select("entity", (F.col("cond") == "T").cast("int").alias("label"), F.lit("median").alias("view"), "score"))
+    return rounded(evaluation.fold_aucs(views.join(folds_of(spark, d), "entity"), "score", "label", ["repeat", "outer_fold"], "view"))
+
+
+@query("ml23_overlap_control")
+def ml23(spark: SparkSession, d: str) -> DataFrame:
+    """Do the features that most folds select and those with a supported change overlap more than random sets?"""
+    picked = ml19(spark, d).where("frequency >= 0.6").join(table(spark, d, "fold_transformer").select("feature_name", "feature_key").distinct(), "feature_name").select("feature_key").distinct().withColumn("selected", F.lit(True))
+    supported = st5(spark, d).select("feature_key", is_true(F.col("q") <= Q).alias("supported"))
+    keys = table(spark, d, "feature_manifest").select("feature_key").distinct()
+    return evaluation.overlap_control(keys.join(picked, "feature_key", "left").join(supported, "feature_key", "left"), "feature_key", "selected", "supported", 1000, SEED)
+
+
+@query("ht2_bootstrap_variance")
+def ht2(spark: SparkSession, d: str) -> DataFrame:
+    return modelling.bootstrap_explained(pairs_of(spark, d), 20, 0.5)
+
+
+@query("st13_sample_components")
+def st13(spark: SparkSession, d: str) -> DataFrame:
+    """Components of the samples themselves, for diagnosis: features that 80 percent of the samples have."""
+    return modelling.change_components(cells_of(spark, d).select("feature_key", F.col("sample_id").alias("entity"), F.col("y").alias("delta")))[0].withColumnRenamed("entity", "sample_id")
+
+
+@query("pw8_scenario_sensitivity")
+def pw8(spark: SparkSession, d: str) -> DataFrame:
+    """Set scores over the ranking of every scenario against those of the primary one."""
+    symbols = table(spark, d, "feature_manifest").select("feature_key", "feature_id_original")
+    ranking = enrichment.collapse_ranking(universe(spark, d).join(symbols, "feature_key"), "feature_id_original", "statistic", "feature_key", ("scenario_id",))
+    return enrichment.scenario_sensitivity(ranking, sets_of(spark, d), "scenario_id", f"uncentered|all_pairs|{LEAST_PAIRS}|moderated", 3, 500)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -192,3 +192,69 @@ def test_tuning_calibration_and_choice(spark):
     rows = spark.createDataFrame([(float(x), int(x + (i % 3 - 1) * 2 > 0)) for i, x in enumerate(range(-20, 20))], "score double, label int")
     p = [r.probability for r in modelling.calibrate(rows, rows).orderBy("score").collect()]
     assert p == sorted(p) and p[0] < 0.05 and p[-1] > 0.95
+
+
+def _planted(spark, entities=60, features=8, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for e in range(1, entities + 1):
+        for c in ("N", "T"):
+            rows += [(f"F{j}", e, c, f"P{e}{c}", float(rng.normal(2.0 if c == "T" and j == 0 else 0.0, 1.0))) for j in range(features)]
+    return spark.createDataFrame(rows, "feature_key string, entity bigint, cond string, sample_id string, y double")
+
+
+def test_importance_baseline_and_curve(spark):
+    cells = _planted(spark)
+    folds = evaluation.hash_folds(cells, "entity", 3, 1, 1)
+    drops = modelling.heldout_importance(cells, folds, most=8, shuffles=6).toPandas().groupby("feature_key")["drop"].mean()
+    assert drops.idxmax() == "F0" and drops["F0"] > 0.1 and (drops.drop("F0").abs() < 0.1).all()
+    base = modelling.outer_predictions(cells, folds, "pca", most=8)
+    assert base.count() == 120
+    curve = {r.parts: r for r in modelling.learning_curve(cells, folds, 2, most=8).collect()}
+    assert curve[2].train_entities == 40 and curve[2].roc_auc > 0.8
+    none = cells.limit(0)
+    assert modelling.outer_predictions(none, folds.limit(0), "pca").count() == 0 and modelling.heldout_importance(none, folds.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        modelling.outer_predictions(cells, folds, "tree")
+
+
+def test_view_wins_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f, v, int(rng.integers(2)), float(rng.integers(5))) for f in range(4) for v in "ab" for _ in range(30)]
+    got = {r.view: r for r in evaluation.fold_aucs(spark.createDataFrame(rows, "fold int, view string, label int, score double"), "score", "label", ["fold"], "view").collect()}
+    areas = {}
+    for f in range(4):
+        for v in "ab":
+            pos = [s for g, w, y, s in rows if (g, w, y) == (f, v, 1)]
+            neg = [s for g, w, y, s in rows if (g, w, y) == (f, v, 0)]
+            areas[v, f] = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+    for v in "ab":
+        assert got[v].least == pytest.approx(min(areas[v, f] for f in range(4))) and got[v].folds == 4
+    assert got["a"].wins == sum(areas["a", f] >= areas["b", f] for f in range(4)) and got["a"].wins + got["b"].wins == 4
+
+
+def test_overlap_control(spark):
+    rows = [(f"F{i}", i < 30 or None, i < 25 or 190 <= i) for i in range(200)] + [(None, True, True)]
+    r = evaluation.overlap_control(spark.createDataFrame(rows, "k string, a boolean, b boolean"), "k", "a", "b", 400, 1).first()
+    assert (r["keys"], r.first_size, r.second_size, r.observed) == (200, 30, 35, 25)
+    assert r.p == pytest.approx(1 / 401) and 3 <= r.null_median <= 8
+    assert evaluation.overlap_control(spark.createDataFrame([], "k string, a boolean, b boolean"), "k", "a", "b", 5, 1).first().p == 1.0
+
+
+def test_bootstrap_variance_holds_the_estimate(spark):
+    pairs = _planted(spark, 80, 6).where("cond = 'T'").select("feature_key", "entity", F.col("y").alias("delta"))
+    rows = {r.component: r for r in modelling.bootstrap_explained(pairs, 12, k=2).collect()}
+    assert set(rows) == {1, 2} and all(r.low <= r.median <= r.high and 0 < r.explained < 1 for r in rows.values())
+    assert abs(rows[1].explained - rows[1].median) < 0.1
+
+
+def test_scenario_sensitivity(spark):
+    up = [("one", f"S{i}", float(10 - i)) for i in range(20)]
+    down = [("two", f"S{i}", float(i - 10)) for i in range(20)]
+    sets = spark.createDataFrame([("top", f"S{i}") for i in range(4)] + [("end", f"S{i}") for i in range(16, 20)], "set_id string, symbol string")
+    ranking = spark.createDataFrame(up + down, "sc string, symbol string, statistic double")
+    got = {(r.sc, r.set_id): r for r in enrichment.scenario_sensitivity(ranking, sets, "sc", "one", 3, 10).collect()}
+    assert got["one", "top"].score > 0 > got["one", "end"].score and got["one", "top"].edge_jaccard == 1.0
+    assert got["two", "top"].score < 0 and not got["two", "top"].same_direction and got["two", "top"].edge_jaccard == 1.0
+    alone = enrichment.enrichment_scores(enrichment.ranked(ranking.where("sc = 'two'")), sets, 3, 10)
+    assert {r.set_id: round(r.score, 9) for r in alone.collect()} == {s: round(r.score, 9) for (c, s), r in got.items() if c == "two"}
