@@ -134,10 +134,12 @@ def change_components(pairs: DataFrame, share: float = 0.8, features: int = 200,
     """(entity, scores) and the explained variance of k components of paired change.
 
     The `features` of largest MAD (at most 500), ties to the larger key, among those that `share` of the entities have; missing changes are the
-    median's, scaled by median and MAD, cut at clip. Each entity is one vector, so the covariance is of bounded size.
+    median's, scaled by median and MAD, cut at clip. Each entity is one vector, so the covariance is of bounded size. Without such a feature the result is empty.
     """
     vectors, widest = change_vectors(pairs, share, features, clip)
     width = min(k, widest)
+    if not width:
+        return vectors.limit(0).select("entity", vector_to_array("v").alias("scores")), []
     model = PCA(k=width, inputCol="v", outputCol="pc").fit(vectors)
     return model.transform(vectors).select("entity", vector_to_array("pc").alias("scores")), [float(v) for v in model.explainedVariance]
 
@@ -151,6 +153,8 @@ def bootstrap_explained(pairs: DataFrame, resamples: int = 20, share: float = 0.
     vectors, widest = change_vectors(pairs, share, features, clip)
     width, spark = min(k, widest), pairs.sparkSession
     fit = lambda rows: [float(v) for v in PCA(k=width, inputCol="v", outputCol="pc").fit(rows).explainedVariance]
+    if not width:
+        return spark.createDataFrame([], "component int, explained double, low double, median double, high double")
     whole, drawn = fit(vectors), []
     for i in range(resamples):
         u = (F.pmod(F.xxhash64("entity", F.lit(seed), F.lit(i)), F.lit(2**40)) + 0.5) / float(2**40)

@@ -246,6 +246,7 @@ def test_bootstrap_variance_holds_the_estimate(spark):
     rows = {r.component: r for r in modelling.bootstrap_explained(pairs, 12, k=2).collect()}
     assert set(rows) == {1, 2} and all(r.low <= r.median <= r.high and 0 < r.explained < 1 for r in rows.values())
     assert abs(rows[1].explained - rows[1].median) < 0.1
+    assert modelling.bootstrap_explained(pairs.limit(0), 2).count() == 0 and modelling.change_components(pairs.limit(0))[0].count() == 0
 
 
 def test_scenario_sensitivity(spark):
