@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def hash_folds(entities: DataFrame, entity: str, folds: int, repeats: int, seed: int) -> DataFrame:
-    """(repeat, entity, outer_fold): whole entities dealt to folds in the order of md5(entity:seed), for each repeat.
+def hash_folds(entities: DataFrame, entity: str, folds: int, repeats: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, repeat, entity, outer_fold): whole entities dealt to folds in the order of md5(entity:seed), for each repeat and value of `by`.
 
     The place in that order is found within the 256 buckets of the hash's first byte and from their counts.
     """
-    rows = entities.where(F.col(entity).isNotNull()).select(F.col(entity).alias("entity")).distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    rows = entities.where(F.col(entity).isNotNull()).select(*by, F.col(entity).alias("entity")).distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     rows = rows.withColumn("h", F.md5(F.concat_ws(":", F.col("entity").cast("string"), (F.col("repeat") * 1009 + seed).cast("string")))).withColumn("b", F.substring("h", 1, 2))
-    before = Window.partitionBy("repeat").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("repeat", "b").count().select("repeat", "b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("repeat", "b").orderBy("h", "entity")) + F.col("before") - 1
-    return rows.join(F.broadcast(counts), ["repeat", "b"]).select("repeat", "entity", (place % folds).cast("int").alias("outer_fold"))
+    before = Window.partitionBy(*by, "repeat").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*by, "repeat", "b").count().select(*by, "repeat", "b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy(*by, "repeat", "b").orderBy("h", "entity")) + F.col("before") - 1
+    return rows.join(counts if by else F.broadcast(counts), [*by, "repeat", "b"]).select(*by, "repeat", "entity", (place % folds).cast("int").alias("outer_fold"))
 
 
 class LeakageError(ValueError):
@@ -34,36 +34,37 @@ def guard_split(train: DataFrame, test: DataFrame, entity: str) -> None:
         raise LeakageError("an entity is in training and in test")
 
 
-def fit_transformer(cells: DataFrame, folds: DataFrame, least_observed: float, least_class: float, most: int, order: str = "score") -> DataFrame:
-    """(repeat, outer_fold, feature_rank, feature_key, median, mean, scale, score): for each fold, fitted on the other folds' entities.
+def fit_transformer(cells: DataFrame, folds: DataFrame, least_observed: float, least_class: float, most: int, order: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, repeat, outer_fold, feature_rank, feature_key, median, mean, scale, score): for each fold, fitted on the other folds' entities.
 
     cells has feature_key, entity, cond, y. Features need their observed share overall and in either condition; missing values
     count as the median in mean and scale (population), features of scale 0 are dropped, and the `most` of largest
     standardised difference between conditions stay (order="scale": of largest spread), ties to the smaller key. A fold is fitted from sums: all rows are
     aggregated once per (repeat, fold, feature), with the fold's own entities left out by a join on entity.
+    Columns in `by`, which cells and folds both have, name cohorts: each has folds, shares and states of its own.
     """
-    count = folds.groupBy("repeat").agg(F.max("outer_fold").alias("last"))
-    held = folds.join(F.broadcast(count), "repeat").select("repeat", "entity", F.col("outer_fold").alias("own"), F.explode(F.sequence(F.lit(0), "last")).alias("outer_fold")).where("own <> outer_fold").drop("own")
-    sizes = held.join(cells.select("entity", "cond").distinct(), "entity").groupBy("repeat", "outer_fold").agg(F.count_if(F.col("cond") == "N").alias("all_n"), F.count_if(F.col("cond") == "T").alias("all_t"))
-    keys = ["repeat", "outer_fold", "feature_key"]
+    count = folds.groupBy(*by, "repeat").agg(F.max("outer_fold").alias("last"))
+    held = folds.join(count if by else F.broadcast(count), [*by, "repeat"]).select(*by, "repeat", "entity", F.col("outer_fold").alias("own"), F.explode(F.sequence(F.lit(0), "last")).alias("outer_fold")).where("own <> outer_fold").drop("own")
+    sizes = held.join(cells.select(*by, "entity", "cond").distinct(), [*by, "entity"]).groupBy(*by, "repeat", "outer_fold").agg(F.count_if(F.col("cond") == "N").alias("all_n"), F.count_if(F.col("cond") == "T").alias("all_t"))
+    keys = [*by, "repeat", "outer_fold", "feature_key"]
     is_t, is_n = F.col("cond") == "T", F.col("cond") == "N"
-    s = cells.where(is_t | is_n).join(held, "entity").groupBy(*keys).agg(F.count_if(is_n).alias("n"), F.count_if(is_t).alias("t"), F.median("y").alias("median"), F.sum(F.when(is_n, F.col("y")).otherwise(0.0)).alias("sn"), F.sum(F.when(is_t, F.col("y")).otherwise(0.0)).alias("st"), F.sum(F.col("y") * F.col("y")).alias("ss"))
-    s = s.join(F.broadcast(sizes), ["repeat", "outer_fold"]).withColumn("all", F.col("all_n") + F.col("all_t"))
+    s = cells.where(is_t | is_n).join(held, [*by, "entity"]).groupBy(*keys).agg(F.count_if(is_n).alias("n"), F.count_if(is_t).alias("t"), F.median("y").alias("median"), F.sum(F.when(is_n, F.col("y")).otherwise(0.0)).alias("sn"), F.sum(F.when(is_t, F.col("y")).otherwise(0.0)).alias("st"), F.sum(F.col("y") * F.col("y")).alias("ss"))
+    s = s.join(sizes if by else F.broadcast(sizes), [*by, "repeat", "outer_fold"]).withColumn("all", F.col("all_n") + F.col("all_t"))
     s = s.where(((F.col("n") + F.col("t")) / F.col("all") >= least_observed) & (F.col("n") / F.col("all_n") >= least_class) & (F.col("t") / F.col("all_t") >= least_class))
     fill_n, fill_t = F.col("all_n") - F.col("n"), F.col("all_t") - F.col("t")
     s = s.withColumn("mean_n", (F.col("sn") + fill_n * F.col("median")) / F.col("all_n")).withColumn("mean_t", (F.col("st") + fill_t * F.col("median")) / F.col("all_t"))
     s = s.withColumn("mean", (F.col("sn") + F.col("st") + (fill_n + fill_t) * F.col("median")) / F.col("all"))
     s = s.withColumn("scale", F.sqrt(F.greatest((F.col("ss") + (fill_n + fill_t) * F.col("median") * F.col("median")) / F.col("all") - F.col("mean") * F.col("mean"), F.lit(0.0))))
     s = s.where(F.col("scale") > 1e-9).withColumn("score", F.abs(F.col("mean_t") - F.col("mean_n")) / F.col("scale"))
-    rank = F.row_number().over(Window.partitionBy("repeat", "outer_fold").orderBy(F.desc(F.round(order, 9)), "feature_key"))
-    return s.withColumn("feature_rank", rank).where(F.col("feature_rank") <= most).select("repeat", "outer_fold", "feature_rank", "feature_key", "median", "mean", "scale", "score")
+    rank = F.row_number().over(Window.partitionBy(*by, "repeat", "outer_fold").orderBy(F.desc(F.round(order, 9)), "feature_key"))
+    return s.withColumn("feature_rank", rank).where(F.col("feature_rank") <= most).select(*by, "repeat", "outer_fold", "feature_rank", "feature_key", "median", "mean", "scale", "score")
 
 
-def transform(cells: DataFrame, folds: DataFrame, states: DataFrame) -> DataFrame:
-    """(repeat, outer_fold, entity, cond, feature_key, z): the held-out entities of each fold, standardised; missing cells are the median's."""
-    asked = folds.join(cells.select("entity", "cond").distinct(), "entity").join(states, ["repeat", "outer_fold"])
-    met = asked.join(cells.select("entity", "cond", "feature_key", "y"), ["entity", "cond", "feature_key"], "left")
-    return met.select("repeat", "outer_fold", "entity", "cond", "feature_key", ((F.coalesce("y", "median") - F.col("mean")) / F.col("scale")).alias("z"))
+def transform(cells: DataFrame, folds: DataFrame, states: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, repeat, outer_fold, entity, cond, feature_key, z): the held-out entities of each fold, standardised; missing cells are the median's."""
+    asked = folds.join(cells.select(*by, "entity", "cond").distinct(), [*by, "entity"]).join(states, [*by, "repeat", "outer_fold"])
+    met = asked.join(cells.select(*by, "entity", "cond", "feature_key", "y"), [*by, "entity", "cond", "feature_key"], "left")
+    return met.select(*by, "repeat", "outer_fold", "entity", "cond", "feature_key", ((F.coalesce("y", "median") - F.col("mean")) / F.col("scale")).alias("z"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwork.functions.columns import average_rank, benjamini_hochberg, cascade, clip, exact_binary_p, is_true, quantile_bin, usable
-from tarnwork.operators import enrichment, evaluation, inference, modelling, pairing, qc, robustness, selection
+from tarnwork.operators import cohorts, enrichment, evaluation, inference, modelling, pairing, qc, robustness, selection
 from tarnwork.plans.problems import BATCH
+from tarnwork.session import stage
 from tarnwork.sources.tables import table
 
 LEAST_PAIRS = 10
@@ -484,6 +485,16 @@ def folds_of(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.hash_folds(cells_of(spark, d), "entity", FOLDS, REPEATS, SEED)
 
 
+def cohort_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with cohort, their feature's source sheet: only samples of one cohort have features in common."""
+    sheets = table(spark, d, "feature_manifest").select("feature_key", F.col("source_sheet").alias("cohort")).distinct()
+    return stage(cells_of(spark, d).join(sheets, "feature_key").where(F.col("cond").isin("N", "T") & F.col("entity").isNotNull()), "cohorts")
+
+
+def cohort_folds(cells: DataFrame, repeats: int = REPEATS) -> DataFrame:
+    return evaluation.hash_folds(cells, "entity", FOLDS, repeats, SEED, ("cohort",))
+
+
 @query("ml2_outer_folds", f"with {CELLS}, {_FOLDS} select * from fl")
 def ml2(spark: SparkSession, d: str) -> DataFrame:
     return folds_of(spark, d)
@@ -507,8 +518,10 @@ def ml5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml6_transformed")
 def ml6(spark: SparkSession, d: str) -> DataFrame:
-    cells, folds = cells_of(spark, d), folds_of(spark, d)
-    return evaluation.transform(cells, folds, evaluation.fit_transformer(cells, folds, 0.5, 0.35, 50))
+    """The held-out samples of every cohort under their folds' states."""
+    cells = cohort_cells(spark, d)
+    folds = cohort_folds(cells)
+    return evaluation.transform(cells, folds, evaluation.fit_transformer(cells, folds, 0.5, 0.35, 50, by=("cohort",)), ("cohort",))
 
 
 def coverage_of(spark: SparkSession, d: str) -> DataFrame:
@@ -549,8 +562,9 @@ def ml20(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml16_outer_predictions")
 def ml16(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out probabilities of the elastic-net model over one repeat of grouped folds."""
-    return modelling.outer_predictions(cells_of(spark, d), folds_of(spark, d).where("repeat = 0"))
+    """Held-out probabilities of every cohort's elastic-net model over one repeat of grouped folds."""
+    cells = cohort_cells(spark, d)
+    return cohorts.outer_predictions(cells, cohort_folds(cells, 1))
 
 
 @query("ml21_prediction_influence", f"with {_COVERAGE}, s as (select o.entity, a.label, a.probability from (select distinct entity from cv) o, cv a where a.entity <> o.entity), w as (select entity, sum(label) as p, sum(1 - label) as n, sum(case when label = 1 then rk end) as rs from (select *, rank() over (partition by entity order by probability) + (count(*) over (partition by entity, probability) - 1) / 2 as rk from s) group by all), f as (select sum(label) as p, sum(1 - label) as n, sum(case when label = 1 then rk end) as rs from (select *, rank() over (order by probability) + (count(*) over (partition by probability) - 1) / 2 as rk from cv)) select entity, round((w.rs - w.p * (w.p + 1) / 2) / (w.p * w.n), 6) as auc_without, round((w.rs - w.p * (w.p + 1) / 2) / (w.p * w.n) - (f.rs - f.p * (f.p + 1) / 2) / (f.p * f.n), 6) as change from w, f")
@@ -693,31 +707,33 @@ def snk5(spark: SparkSession, d: str) -> DataFrame:
 
 
 # baselines, influence and controls --------------------------------------------------------------------------------------
-def one_repeat(spark: SparkSession, d: str) -> DataFrame:
-    return folds_of(spark, d).where("repeat = 0")
-
-
 @query("ml12_inner_tuning")
 def ml12(spark: SparkSession, d: str) -> DataFrame:
-    """Settings of the elastic net over inner folds, dealt among the entities that train outer fold 0."""
-    outer = one_repeat(spark, d).where("outer_fold <> 0").select("entity")
-    return modelling.tune(cells_of(spark, d).join(outer, "entity"), evaluation.hash_folds(outer, "entity", 3, 1, SEED + 1), [{"c": c, "l1": 0.5, "k": 50} for c in (0.1, 1.0)])
+    """Settings of the elastic net over inner folds of every cohort, dealt among the entities that train its outer fold 0."""
+    cells = cohort_cells(spark, d)
+    outer = cohort_folds(cells, 1).where("outer_fold <> 0").select("cohort", "entity")
+    cells, folds = cells.join(outer, ["cohort", "entity"]), evaluation.hash_folds(outer, "entity", 3, 1, SEED + 1, ("cohort",))
+    return selection.union_all([evaluation.threshold_metrics(cohorts.outer_predictions(cells, folds, c=c), "score", "label", F.lit(0.5), ["cohort"]).select("cohort", F.lit(c).alias("c"), F.lit(0.5).alias("l1"), F.lit(50).alias("k"), F.col("balanced_accuracy").alias("accuracy")) for c in (0.1, 1.0)])
 
 
 @query("ml13_pca_baseline")
 def ml13(spark: SparkSession, d: str) -> DataFrame:
     """Held-out areas under the curve of the component baseline, fold by fold."""
-    return evaluation.roc_auc(modelling.outer_predictions(cells_of(spark, d), one_repeat(spark, d), "pca", most=100), "score", "label", ["repeat", "outer_fold"])
+    cells = cohort_cells(spark, d)
+    return evaluation.roc_auc(cohorts.outer_predictions(cells, cohort_folds(cells, 1), "pca", most=100), "score", "label", ["cohort", "repeat", "outer_fold"])
 
 
 @query("ml15_heldout_importance")
 def ml15(spark: SparkSession, d: str) -> DataFrame:
-    return modelling.heldout_importance(cells_of(spark, d), one_repeat(spark, d))
+    cells = cohort_cells(spark, d)
+    return cohorts.heldout_importance(cells, cohort_folds(cells, 1))
 
 
 @query("ml18_learning_curve")
 def ml18(spark: SparkSession, d: str) -> DataFrame:
-    return modelling.learning_curve(cells_of(spark, d), one_repeat(spark, d), FOLDS - 1)
+    cells = cohort_cells(spark, d)
+    scores = cohorts.learning_curve_scores(cells, cohort_folds(cells, 1), FOLDS - 1)
+    return evaluation.roc_auc(scores, "score", "label", ["cohort", "repeat", "parts", "train_entities"]).drop("positives", "negatives")
 
 
 @query("ml22_view_winners", f"""with {CELLS}, {_FOLDS}, {_COVERAGE}, vw as (select entity, label, 'coverage' as view, probability as score from cv union all select entity, cast(cond = 'T' as integer), 'median', round(median(y), 9) from cells group by sample_id, entity, cond),
