@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators import modelling
 from tarnwork.operators.evaluation import LeakageError
+from tarnwork.operators.qc import MAD_SCALE
 from tarnwork.session import stage
 
 TASK_CELLS = 5_000_000
@@ -175,9 +176,8 @@ def in_tasks(cells: DataFrame, folds: DataFrame, work: Callable[[Samples, pd.Dat
     parts = max(1, min(repeats.count(), 10_000))
 
     def run(key: tuple, f: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
-        if not len(f) or not len(k):
-            return pd.DataFrame({n: [] for n in names})
-        return pd.DataFrame([(key[0], int(key[1]), *r) for r in work(samples_of(f), k, int(key[1]))], columns=names)
+        rows = [(key[0], int(key[1]), *r) for r in work(samples_of(f), k, int(key[1]))] if len(f) and len(k) else []
+        return pd.DataFrame(rows, columns=names) if rows else pd.DataFrame()
 
     by = ["cohort", "repeat"]
     return units.repartition(parts, *by).groupBy(*by).cogroup(folds.select(*by, "entity", "outer_fold").repartition(parts, *by).groupBy(*by)).applyInPandas(run, schema)
@@ -245,3 +245,75 @@ def learning_curve_scores(cells: DataFrame, folds: DataFrame, last: int, c: floa
                     yield from zip([parts] * len(test), [n] * len(test), s.entity[test].tolist(), s.label[test].tolist(), score.tolist())
 
     return in_tasks(stage(cells, "cohort-cells"), stage(folds, "cohort-folds"), work, "parts int, train_entities bigint, entity bigint, label int, score double")
+
+
+def robust_matrix(f: pd.DataFrame, share: float, features: int, clip: float) -> tuple[np.ndarray, np.ndarray]:
+    """(entities, centred matrix) of modelling.change_vectors for one cohort: its features in `share` of its own entities, those of largest MAD
+    (ties to the larger key), missing ones the median's, scaled by median and MAD, cut at clip."""
+    wide = f.groupby(["entity", "feature_key"])["delta"].max().unstack().sort_index()
+    wide = wide.loc[:, wide.notna().sum() >= share * len(wide) - 1e-9]
+    x = wide.to_numpy(float)
+    if not x.size:
+        return wide.index.to_numpy(), np.zeros((len(wide), 0))
+    median = np.nanmedian(x, axis=0)
+    mad = np.nanmedian(np.abs(x - median), axis=0) * MAD_SCALE
+    order = sorted((i for i in range(x.shape[1]) if mad[i] > 0), key=lambda i: (mad[i], wide.columns[i]), reverse=True)[: min(features, modelling.MAX_FEATURES)]
+    z = np.clip((np.where(np.isnan(x), median, x)[:, order] - median[order]) / mad[order], -clip, clip)
+    return wide.index.to_numpy(), z - z.mean(axis=0)
+
+
+def explained(z: np.ndarray) -> np.ndarray:
+    z = z - z.mean(axis=0)
+    v = np.square(np.linalg.svd(z, compute_uv=False))
+    return v / v.sum() if v.sum() > 0 else np.zeros(len(v))
+
+
+def split_changes(pairs: DataFrame, task_cells: int) -> tuple[DataFrame, list[tuple]]:
+    """Rows of the cohorts that fit a task, spread one cohort a group, and (cohort, rows) of each larger one."""
+    rows = stage(pairs.where("delta is not null").select("cohort", "feature_key", "entity", "delta"), "cohort-changes")
+    counts = rows.groupBy("cohort").count().collect()
+    large = [r["cohort"] for r in counts if r["count"] > task_cells]
+    small = rows.where(~F.col("cohort").isin(large)) if large else rows
+    return small.repartition(max(1, min(len(counts), 10_000)), "cohort"), [(c, rows.where(F.col("cohort") == c).drop("cohort")) for c in large]
+
+
+def change_components(pairs: DataFrame, share: float = 1.0, features: int = 500, clip: float = 5.0, k: int = 10, task_cells: int = TASK_CELLS) -> DataFrame:
+    """(cohort, entity, scores): components of change within every cohort, each turned so that its largest loading is positive; centred.
+
+    pairs has cohort, feature_key, entity, delta. A cohort without a usable feature has no rows. Larger cohorts than task_cells go to MLlib, one after another.
+    """
+    rows, large = split_changes(pairs, task_cells)
+    schema = f"cohort {rows.schema['cohort'].dataType.simpleString()}, entity {rows.schema['entity'].dataType.simpleString()}, scores array<double>"
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        entities, z = robust_matrix(f, share, features, clip)
+        turn = np.linalg.svd(z, full_matrices=False)[2][: min(k, z.shape[1])].T if z.size else np.zeros((0, 0))
+        turn = turn * np.array([np.sign(t[np.abs(t).argmax()]) for t in turn.T]) if turn.size else turn
+        return pd.DataFrame({"cohort": [key[0]] * len(entities), "entity": entities, "scores": list((z @ turn).tolist())}) if turn.size else pd.DataFrame()
+
+    out = rows.groupBy("cohort").applyInPandas(run, schema)
+    for name, x in large:
+        scores = stage(modelling.change_components(x, share, features, clip, k)[0], "cohort-scores")
+        mean = scores.select(F.posexplode("scores").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda m: m["v"]).alias("m"))
+        out = out.unionByName(scores.join(F.broadcast(mean)).select(F.lit(name).alias("cohort"), "entity", F.zip_with("scores", "m", lambda a, b: a - b).alias("scores")))
+    return out
+
+
+def bootstrap_explained(pairs: DataFrame, resamples: int = 200, share: float = 1.0, features: int = 500, clip: float = 5.0, k: int = 10, seed: int = 1, task_cells: int = TASK_CELLS) -> DataFrame:
+    """(cohort, component, explained, low, median, high): shares of every cohort's components with their 2.5, 50 and 97.5 percentiles over
+    resamples of its entities, drawn with replacement. Larger cohorts than task_cells go to MLlib, one after another."""
+    rows, large = split_changes(pairs, task_cells)
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        _, z = robust_matrix(f, share, features, clip)
+        names = ["cohort", "component", "explained", "low", "median", "high"]
+        if not z.size:
+            return pd.DataFrame()
+        rng, n = seeded(seed, key[0]), len(z)
+        drawn = np.array([explained(z[rng.integers(0, n, n)])[:k] for _ in range(resamples)])
+        low, middle, high = np.quantile(drawn, [0.025, 0.5, 0.975], axis=0)
+        whole = explained(z)[:k]
+        return pd.DataFrame(list(zip([key[0]] * len(whole), range(1, len(whole) + 1), whole, low, middle, high)), columns=names)
+
+    out = rows.groupBy("cohort").applyInPandas(run, f"cohort {rows.schema['cohort'].dataType.simpleString()}, component int, explained double, low double, median double, high double")
+    return reduce(DataFrame.unionByName, [modelling.bootstrap_explained(x, resamples, share, features, clip, k, seed).withColumn("cohort", F.lit(name)) for name, x in large], out)

@@ -491,6 +491,10 @@ def cohort_cells(spark: SparkSession, d: str) -> DataFrame:
     return stage(cells_of(spark, d).join(sheets, "feature_key").where(F.col("cond").isin("N", "T") & F.col("entity").isNotNull()), "cohorts")
 
 
+def cohort_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairing.paired(cohort_cells(spark, d), ("cohort",))
+
+
 def cohort_folds(cells: DataFrame, repeats: int = REPEATS) -> DataFrame:
     return evaluation.hash_folds(cells, "entity", FOLDS, repeats, SEED, ("cohort",))
 
@@ -587,7 +591,8 @@ def ml21(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ht1_change_components")
 def ht1(spark: SparkSession, d: str) -> DataFrame:
-    return modelling.change_components(pairs_of(spark, d), 0.5)[0]
+    """Components of change of every cohort over the features that all of its pairs have."""
+    return cohorts.change_components(cohort_pairs(spark, d))
 
 
 @query("ht5_cluster_stability")
@@ -760,13 +765,13 @@ def ml23(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ht2_bootstrap_variance")
 def ht2(spark: SparkSession, d: str) -> DataFrame:
-    return modelling.bootstrap_explained(pairs_of(spark, d), 20, 0.5)
+    return cohorts.bootstrap_explained(cohort_pairs(spark, d), 200)
 
 
 @query("st13_sample_components")
 def st13(spark: SparkSession, d: str) -> DataFrame:
-    """Components of the samples themselves, for diagnosis: features that half of the samples have."""
-    return modelling.change_components(cells_of(spark, d).select("feature_key", F.col("sample_id").alias("entity"), F.col("y").alias("delta")), 0.5)[0].withColumnRenamed("entity", "sample_id")
+    """Components of every cohort's samples themselves, for diagnosis: features that 80 percent of its samples have."""
+    return cohorts.change_components(cohort_cells(spark, d).select("cohort", "feature_key", F.col("sample_id").alias("entity"), F.col("y").alias("delta")), 0.8).withColumnRenamed("entity", "sample_id")
 
 
 @query("pw8_scenario_sensitivity")

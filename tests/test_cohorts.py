@@ -68,3 +68,29 @@ def test_shares_are_of_training_samples(spark):
     assert {n[:2] for n in state.names} == {"A:", "D:"} and len(state.names) == 20
     z = cohorts.apply_state(s, state, np.arange(len(s.label)))
     assert np.allclose(z.mean(axis=0), 0) and np.allclose(z.std(axis=0), 1)
+
+
+def test_every_cohort_has_components(spark):
+    pairs = planted(spark, missing=0.0).where("cond = 'T'").select("cohort", "feature_key", "entity", F.col("y").alias("delta")).where("feature_key not like '%F9' or entity % 1000 <> 3")
+    assert modelling.change_components(pairs, 0.5)[0].isEmpty()  # no feature is in half of all entities
+    got, k = cohorts.change_components(pairs, k=4).toPandas(), {"cohort", "component"}
+    assert got.groupby("cohort").size().to_dict() == {"S0": 24, "S1": 24, "S2": 24}
+    _, z = cohorts.robust_matrix(pairs.where("cohort = 'S1'").toPandas(), 1.0, 500, 5.0)
+    assert z.shape == (24, 9)  # F9 isn't in all entities
+    want = np.linalg.svd(z, full_matrices=False)
+    own = np.array(got[got["cohort"] == "S1"].sort_values("entity")["scores"].tolist())
+    assert np.allclose(np.abs(own), np.abs((want[0] * want[1])[:, :4]))
+    spread = cohorts.bootstrap_explained(pairs, 40, k=4).toPandas()
+    assert k <= set(spread.columns) and len(spread) == 12 and (spread["low"] <= spread["median"]).all() and (spread["median"] <= spread["high"]).all()
+    assert np.allclose(spread[spread["cohort"] == "S1"].sort_values("component")["explained"], (want[1] ** 2 / (want[1] ** 2).sum())[:4])
+    large = cohorts.change_components(pairs.where("cohort = 'S1'"), k=4, task_cells=1).toPandas().sort_values("entity")
+    assert np.allclose(np.abs(np.array(large["scores"].tolist())), np.abs(own), atol=1e-6)
+
+
+def test_cohorts_without_a_usable_feature_are_left_out(spark):
+    cells = planted(spark, 2, 12)
+    cells = cells.where("cohort = 'S0' or feature_key = 'S1F' || entity % 10")  # every feature of S1 is in a tenth of its samples
+    folds = evaluation.hash_folds(cells, "entity", 3, 1, 5, ("cohort",))
+    assert {r.cohort for r in cohorts.outer_predictions(cells, folds).collect()} == {"S0"}
+    pairs = cells.where("cond = 'T'").withColumnRenamed("y", "delta")
+    assert {r.cohort for r in cohorts.change_components(pairs, 0.5).collect()} == {r.cohort for r in cohorts.bootstrap_explained(pairs, 5, 0.5).collect()} == {"S0"}
