@@ -317,3 +317,77 @@ def bootstrap_explained(pairs: DataFrame, resamples: int = 200, share: float = 1
 
     out = rows.groupBy("cohort").applyInPandas(run, f"cohort {rows.schema['cohort'].dataType.simpleString()}, component int, explained double, low double, median double, high double")
     return reduce(DataFrame.unionByName, [modelling.bootstrap_explained(x, resamples, share, features, clip, k, seed).withColumn("cohort", F.lit(name)) for name, x in large], out)
+
+
+C_GRID = (0.0001, 0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
+GRIDS = {"elastic_net": [(c, l1, 100) for c in C_GRID for l1 in (0.1, 0.5, 0.9, 1.0)], "svm": [(c, None, k) for c in C_GRID for k in (25, 50, 100)]}
+
+
+def best_cut(probability: np.ndarray, label: np.ndarray) -> float:
+    """Of 0.5, the probabilities and the middles between them the threshold of best balanced accuracy, then nearest 0.5, then largest."""
+    seen = np.unique(probability)
+    tried = np.unique(np.concatenate([[0.5], seen, (seen[:-1] + seen[1:]) / 2]))
+    return max((round(balanced_accuracy(label, (probability >= t) == (label == 1)), 12), -abs(float(t) - 0.5), float(t)) for t in tried)[2]
+
+
+def fit_grid(model: str, x: np.ndarray, label: np.ndarray, grid: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(features x settings, intercepts) of a grid; a setting of k features has zeros after the first k."""
+    w, b = np.zeros((x.shape[1], len(grid))), np.zeros(len(grid))
+    for k in {g[2] for g in grid}:
+        at = [i for i, g in enumerate(grid) if g[2] == k]
+        if model == "elastic_net":
+            w[:k, at], b[at] = elastic_net(x[:, :k], label, [grid[i][0] for i in at], [grid[i][1] for i in at])
+        else:
+            for i in at:
+                w[:k, i], b[i] = linear_svm(x[:, :k], label, grid[i][0])
+    return w, b
+
+
+def nested(s: Samples, folds: pd.DataFrame, repeat: int, view: str, model: str, inner: int, seed: int) -> Iterator[tuple]:
+    """(fold, surface, test, probability, threshold) of every outer fold: the grid is judged over inner folds of the training entities, and the
+    chosen setting (best accuracy, then least C, panel, largest l1, least k), its threshold and, for svm, its calibration judge the test samples."""
+    grid = GRIDS[model]
+    for fold, train, test in outer_splits(s, folds):
+        order = sorted(set(s.entity[train].tolist()), key=lambda e: (hashlib.md5(f"{e}:{repeat * 1009 + seed}:{fold}".encode()).hexdigest(), e))
+        dealt = {"entity": order, "outer_fold": [i % inner for i in range(len(order))]}
+        state = fit_state(s, train, view, max(g[2] for g in grid))
+        oof, marks, panels = np.full((len(s.label), len(grid)), np.nan), [], []
+        for _, fit, judged in outer_splits(s, pd.DataFrame(dealt)):
+            own = fit_state(s, fit, view, max(g[2] for g in grid))
+            if len(own.names):
+                w, b = fit_grid(model, apply_state(s, own, fit), s.label[fit], grid)
+                oof[judged] = apply_state(s, own, judged) @ w + b
+                marks.append([balanced_accuracy(s.label[judged], (oof[judged, i] >= 0) == (s.label[judged] == 1)) for i in range(len(grid))])
+                panels.append((np.abs(w) > 1e-12).sum(axis=0))
+        if not len(state.names) or not marks:
+            continue
+        marks = np.array(marks)
+        known = (~np.isnan(marks)).sum(axis=0)
+        accuracy, panel = np.where(known > 0, np.nansum(marks, axis=0) / np.maximum(known, 1), -1.0), np.mean(panels, axis=0)
+        best = min(range(len(grid)), key=lambda i: (-round(accuracy[i], 12), grid[i][0], panel[i], -(grid[i][1] or 0), grid[i][2]))
+        surface = [(*g, float(accuracy[i]) if known[i] else None, float(panel[i]), i == best) for i, g in enumerate(grid)]
+        w, b = fit_grid(model, apply_state(s, state, train), s.label[train], [grid[best]])
+        out, score = oof[train, best], apply_state(s, state, test) @ w[:, 0] + b[0]
+        there = ~np.isnan(out)
+        if model == "svm":
+            pw, pb = elastic_net(out[there, None], s.label[train][there], [1.0], [0.0], 20_000, 1e-8)
+            out, score = out * pw[0, 0] + pb[0], score * pw[0, 0] + pb[0]
+        cut = lambda m: np.clip(sigmoid(m), CUT, 1 - CUT)
+        yield fold, surface, test, cut(score), best_cut(cut(out[there]), s.label[train][there])
+
+
+def nested_results(cells: DataFrame, folds: DataFrame, tuning: bool, views: tuple[str, ...] = ("abundance", "detection", "combined"), models: tuple[str, ...] = ("elastic_net", "svm"), inner: int = 5, seed: int = 43) -> DataFrame:
+    """Every cohort, repeat, outer fold, view and model: with tuning the grid (c, l1, k, accuracy, panel, chosen), else the held-out samples'
+    probability and the threshold, both of the setting chosen inside the fold. One task holds a cohort."""
+
+    def work(s: Samples, k: pd.DataFrame, repeat: int) -> Iterator[tuple]:
+        for view in views:
+            for model in models:
+                for fold, surface, test, probability, threshold in nested(s, k, repeat, view, model, inner, seed):
+                    if tuning:
+                        yield from ((fold, view, model, *r) for r in surface)
+                    else:
+                        yield from ((fold, view, model, int(s.entity[i]), str(s.cond[i]), int(s.label[i]), float(p), threshold) for i, p in zip(test, probability))
+
+    columns = "c double, l1 double, k int, accuracy double, panel double, chosen boolean" if tuning else "entity bigint, cond string, label int, score double, threshold double"
+    return in_tasks(stage(cells, "cohort-cells"), stage(folds, "cohort-folds"), work, f"outer_fold int, view string, model string, {columns}")

@@ -566,9 +566,9 @@ def ml20(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml16_outer_predictions")
 def ml16(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out probabilities of every cohort's elastic-net model over one repeat of grouped folds."""
+    """Held-out probabilities of every cohort, repeat, view and model, by the setting tuned inside the outer fold, and its threshold."""
     cells = cohort_cells(spark, d)
-    return cohorts.outer_predictions(cells, cohort_folds(cells, 1))
+    return cohorts.nested_results(cells, cohort_folds(cells), False)
 
 
 @query("ml21_prediction_influence", f"with {_COVERAGE}, s as (select o.entity, a.label, a.probability from (select distinct entity from cv) o, cv a where a.entity <> o.entity), w as (select entity, sum(label) as p, sum(1 - label) as n, sum(case when label = 1 then rk end) as rs from (select *, rank() over (partition by entity order by probability) + (count(*) over (partition by entity, probability) - 1) / 2 as rk from s) group by all), f as (select sum(label) as p, sum(1 - label) as n, sum(case when label = 1 then rk end) as rs from (select *, rank() over (order by probability) + (count(*) over (partition by probability) - 1) / 2 as rk from cv)) select entity, round((w.rs - w.p * (w.p + 1) / 2) / (w.p * w.n), 6) as auc_without, round((w.rs - w.p * (w.p + 1) / 2) / (w.p * w.n) - (f.rs - f.p * (f.p + 1) / 2) / (f.p * f.n), 6) as change from w, f")
@@ -714,30 +714,28 @@ def snk5(spark: SparkSession, d: str) -> DataFrame:
 # baselines, influence and controls --------------------------------------------------------------------------------------
 @query("ml12_inner_tuning")
 def ml12(spark: SparkSession, d: str) -> DataFrame:
-    """Settings of the elastic net over inner folds of every cohort, dealt among the entities that train its outer fold 0."""
+    """The whole grid over five inner folds of every cohort, repeat, outer fold, view and model."""
     cells = cohort_cells(spark, d)
-    outer = cohort_folds(cells, 1).where("outer_fold <> 0").select("cohort", "entity")
-    cells, folds = cells.join(outer, ["cohort", "entity"]), evaluation.hash_folds(outer, "entity", 3, 1, SEED + 1, ("cohort",))
-    return selection.union_all([evaluation.threshold_metrics(cohorts.outer_predictions(cells, folds, c=c), "score", "label", F.lit(0.5), ["cohort"]).select("cohort", F.lit(c).alias("c"), F.lit(0.5).alias("l1"), F.lit(50).alias("k"), F.col("balanced_accuracy").alias("accuracy")) for c in (0.1, 1.0)])
+    return cohorts.nested_results(cells, cohort_folds(cells), True)
 
 
 @query("ml13_pca_baseline")
 def ml13(spark: SparkSession, d: str) -> DataFrame:
     """Held-out areas under the curve of the component baseline, fold by fold."""
     cells = cohort_cells(spark, d)
-    return evaluation.roc_auc(cohorts.outer_predictions(cells, cohort_folds(cells, 1), "pca", most=100), "score", "label", ["cohort", "repeat", "outer_fold"])
+    return evaluation.roc_auc(cohorts.outer_predictions(cells, cohort_folds(cells), "pca", most=100), "score", "label", ["cohort", "repeat", "outer_fold"])
 
 
 @query("ml15_heldout_importance")
 def ml15(spark: SparkSession, d: str) -> DataFrame:
     cells = cohort_cells(spark, d)
-    return cohorts.heldout_importance(cells, cohort_folds(cells, 1))
+    return cohorts.heldout_importance(cells, cohort_folds(cells))
 
 
 @query("ml18_learning_curve")
 def ml18(spark: SparkSession, d: str) -> DataFrame:
     cells = cohort_cells(spark, d)
-    scores = cohorts.learning_curve_scores(cells, cohort_folds(cells, 1), FOLDS - 1)
+    scores = cohorts.learning_curve_scores(cells, cohort_folds(cells), FOLDS - 1)
     return evaluation.roc_auc(scores, "score", "label", ["cohort", "repeat", "parts", "train_entities"]).drop("positives", "negatives")
 
 

@@ -94,3 +94,14 @@ def test_cohorts_without_a_usable_feature_are_left_out(spark):
     assert {r.cohort for r in cohorts.outer_predictions(cells, folds).collect()} == {"S0"}
     pairs = cells.where("cond = 'T'").withColumnRenamed("y", "delta")
     assert {r.cohort for r in cohorts.change_components(pairs, 0.5).collect()} == {r.cohort for r in cohorts.bootstrap_explained(pairs, 5, 0.5).collect()} == {"S0"}
+
+
+def test_nested_results_of_every_view_and_model(spark):
+    cells = planted(spark, 1, 12, 5)
+    folds = evaluation.hash_folds(cells, "entity", 3, 1, 5, ("cohort",))
+    got = cohorts.nested_results(cells, folds, False, inner=3).toPandas()
+    assert got.groupby(["view", "model"]).size().to_dict() == {(v, m): 24 for v in ("abundance", "detection", "combined") for m in ("elastic_net", "svm")}
+    grid = cohorts.nested_results(cells, folds, True, ("abundance",), inner=3).toPandas()
+    assert grid.groupby("model").size().to_dict() == {"elastic_net": 3 * 28, "svm": 3 * 21} and (grid.groupby(["outer_fold", "model"])["chosen"].sum() == 1).all()
+    part = grid[grid["model"] == "elastic_net"]
+    assert (part[part["chosen"]].set_index("outer_fold")["accuracy"] == part.groupby("outer_fold")["accuracy"].max()).all()
