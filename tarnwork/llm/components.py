@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,14 +13,12 @@ from tarnwork.operators.joins import HEAVY_ROWS, join_weighted
 from tarnwork.session import stage, unstage
 
 CELL_EDGES = 500_000
+LEAST_SIDE = 4  # blocks of vertices that even the smallest graph is cut into in the first round
+TASK_CELLS = 4
 
 
-def _local_forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over the edges of one partition, of bounded size: each vertex with the least vertex it is linked to here."""
-    parts = list(frames)
-    pairs = pd.concat(parts) if parts else pd.DataFrame({"u": [], "v": []})
-    if not len(pairs):
-        return
+def _local_forest(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Union-find over the edges of one cell, of bounded size: each vertex with the least vertex it is linked to here."""
     names, codes = np.unique(np.concatenate([pairs["u"].to_numpy(dtype=object), pairs["v"].to_numpy(dtype=object)]), return_inverse=True)
     a, b = codes[: len(pairs)], codes[len(pairs) :]
     parent = np.arange(len(names))
@@ -34,7 +31,7 @@ def _local_forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
         while (parent[parent] != parent).any():
             parent = parent[parent]
-    yield pd.DataFrame({"vertex": names, "rep": names[parent]})
+    return pd.DataFrame({"vertex": names, "rep": names[parent]})
 
 
 def connected_groups(edges: DataFrame, u: str, v: str, cell_edges: int = CELL_EDGES, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
@@ -44,8 +41,9 @@ def connected_groups(edges: DataFrame, u: str, v: str, cell_edges: int = CELL_ED
     orders count once; an empty table gives an empty result; other columns are ignored.
 
     Method: vertices are hashed into blocks, edges into the cells of the block-pair grid, each of about cell_edges
-    edges (the grid grows with the edges; a cell that a hub overfills is cut further by a hash of the edge, which
-    union-find may do at will). Union-find runs in each cell. The vertices of a row and of a column then exchange their
+    edges (the grid has at least 4 x 4 cells in the first round, 2 x 2 in the second, and grows with the edges; a cell that a hub overfills is cut further by a hash
+    of the edge, which union-find may do at will). Union-find runs in each cell; a task takes its cells one after another,
+    so that it holds at most some 2 x cell_edges edges at a time, however many cells it is given. The vertices of a row and of a column then exchange their
     representatives: a vertex hangs on the least of them, and the others become edges between representatives, on which
     the next round runs. It ends when no edges are left. In a round every vertex but the least of its
     neighbourhood leaves the graph, so few rounds are needed and the grid shrinks with it.
@@ -55,17 +53,13 @@ def connected_groups(edges: DataFrame, u: str, v: str, cell_edges: int = CELL_ED
     live = stage(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "grid-edges")
     maps: list[DataFrame] = []
     while (n := live.count()) > 0:
-        side = max(1, math.ceil(math.sqrt(n / cell_edges)))
-        cells = live.withColumn("i", F.pmod(F.xxhash64("u"), F.lit(side))).withColumn("j", F.pmod(F.xxhash64("v"), F.lit(side)))
-        if side > 1:
-            # cells of more than twice the wished edges, at most n / (2 x cell_edges) of them, are cut by a hash of the edge
-            full = cells.groupBy("i", "j").count().where(F.col("count") > 2 * cell_edges).select("i", "j", F.ceil(F.col("count") / cell_edges).alias("cuts"))
-            cells = cells.join(F.broadcast(full), ["i", "j"], "left").withColumn("cut", F.pmod(F.xxhash64("u", "v", F.lit(7)), F.coalesce("cuts", F.lit(1))))
-            cells = cells.repartition(2 * side * side, "i", "j", "cut")
-        else:
-            cells = cells.coalesce(1)
-        cells = cells.select("u", "v")
-        local = stage(cells.mapInPandas(_local_forest, "vertex string, rep string"), "grid-local")
+        side = max(LEAST_SIDE >> len(maps), math.ceil(math.sqrt(n / cell_edges)))
+        cells = live.withColumn("i", F.pmod(F.xxhash64("u"), F.lit(side)).cast("int")).withColumn("j", F.pmod(F.xxhash64("v"), F.lit(side)).cast("int"))
+        # cells of more than twice the wished edges, at most n / (2 x cell_edges) of them, are cut by a hash of the edge
+        full = cells.groupBy("i", "j").count().where(F.col("count") > 2 * cell_edges).select("i", "j", F.ceil(F.col("count") / cell_edges).cast("int").alias("cuts"))
+        cells = cells.join(F.broadcast(full), ["i", "j"], "left").withColumn("cut", F.pmod(F.xxhash64("u", "v", F.lit(7)), F.coalesce("cuts", F.lit(1))).cast("int"))
+        cells = cells.select("u", "v", "i", "j", "cut").repartition(-(-side * side // TASK_CELLS), "i", "j", "cut")
+        local = stage(cells.groupBy("i", "j", "cut").applyInPandas(_local_forest, "vertex string, rep string"), "grid-local")
         least = local.groupBy("vertex").agg(F.min("rep").alias("parent"), F.count(F.lit(1)).alias("weight"))
         up = stage(least, "grid-up")
         met = join_weighted(local, up, ["vertex"], "weight", heavy_rows)

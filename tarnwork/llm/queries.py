@@ -115,17 +115,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_coverage": p6_coverage, "p7_found": p7_found, "p7_shares": p7_shares, "p7_draws": p7_draws, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
-_CLOSURE = """
+_SEEN = """
 with recursive link as (select distinct a.patient_number as a, b.patient_number as b from sample_manifest a join sample_manifest b using (pair_id) where a.patient_number <> b.patient_number),
 reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a),
 person as (select a, min(least(a, b)) as root from reach group by a),
-seen as (select o.repeat, o.outer_fold, coalesce(p.root, o.n) as root from (select *, cast(nullif(regexp_extract(patient_id, '([0-9]+)', 1), '') as bigint) as n from outer_fold_assignments) o left join person p on p.a = o.n)
+seen as (select o.repeat, o.outer_fold, o.n, coalesce(p.root, o.n) as root from (select *, cast(nullif(regexp_extract(patient_id, '([0-9]+)', 1), '') as bigint) as n from outer_fold_assignments) o left join person p on p.a = o.n)"""
+_CLOSURE = (
+    _SEEN
+    + """
 select repeat, cast(root as integer) as patient_number from seen where root is not null and outer_fold is not null group by all having count(distinct outer_fold) > 1"""
+)
+# the three splits in falling order of their shares take their turns along the roots of a band
+_DEALT = (
+    _SEEN
+    + """,
+roots as (select root, cast(floor(log2(count(*))) as integer) as band from seen where root is not null group by root),
+turn as (select root, row_number() over (partition by band order by md5(cast(root as varchar)), root) - 1 as k from roots),
+wish as (select list(split_name order by target_share desc, split_name) as names, list(target_share order by target_share desc, split_name) as shares from split_targets),
+one as (select root, names, shares, k, shares[1] / list_sum(shares) as a, shares[2] / (list_sum(shares) - shares[1]) as b from turn, wish),
+two as (select *, ceil((k + 1) * a - 1e-9) > ceil(k * a - 1e-9) as first, k - ceil(k * a - 1e-9) as k2 from one),
+dealt as (select root, case when first then names[1] when ceil((k2 + 1) * b - 1e-9) > ceil(k2 * b - 1e-9) then names[2] else names[3] end as split from two)"""
+)
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _CLOSURE,
+        "p1_splits": _DEALT + " select n as patient, root as person, count(*) as records, any_value(split) as split from seen join dealt using (root) where n is not null group by n, root",
+        "p1_shares": _DEALT + " select split_name, target_share, count(root) as records, count(distinct root) as persons, count(root) / (select count(*) from seen where n is not null) as actual_share from split_targets left join (select * from seen join dealt using (root)) on split = split_name group by all",
         "p2_found": """select resample, component, feature_key from (select *, row_number() over (partition by resample, component order by s desc, feature_key) as rn
             from (select resample, component, feature_key, max(abs(loading)) as s from pca_top_loadings where loading is not null and not isnan(loading) and feature_key is not null group by all)) where rn <= 10""",
         # no source is near its limit, so that characters give the answer that tokens give

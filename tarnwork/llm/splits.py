@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tarnwork.operators.joins import HEAVY_ROWS, join_weighted
 from tarnwork.session import stage, unstage
 
-DEALING_BUCKETS = 1024
+DEALING_DIGITS = 3  # hex digits of the hash that make a bucket
 
 
 def spanning_forest(edges: DataFrame, u: str, v: str, heavy_rows: int = HEAVY_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -60,8 +60,9 @@ def spanning_forest(edges: DataFrame, u: str, v: str, heavy_rows: int = HEAVY_RO
         return live.select(F.col("u").alias("vertex"), F.col("v").alias("root")), live.select("u", "v")
     labels = maps[-1]
     for lower in reversed(maps[:-1]):
-        higher = labels.select(F.col("c").alias("p"), F.col("p").alias("top"))
-        labels = lower.join(higher, "p", "left").select("c", F.coalesce("top", "p").alias("p"))
+        counts = lower.groupBy("p").agg(F.count(F.lit(1)).alias("weight"))
+        higher = counts.join(labels.select(F.col("c").alias("p"), F.col("p").alias("top")), "p", "left").select("p", F.coalesce("top", "p").alias("top"), "weight")
+        labels = join_weighted(lower, higher, ["p"], "weight", heavy_rows).select("c", F.col("top").alias("p"))
     forest = stage(reduce(DataFrame.unionByName, picks).distinct(), "forest")
     return stage(labels.select(F.col("c").alias("vertex"), F.col("p").alias("root")), "forest-labels"), forest
 
@@ -70,15 +71,15 @@ def deal_roots(roots: DataFrame, root: str, size: str, targets: dict[str, float]
     """(root, split): whole roots dealt to the splits. roots has one row a root and its size.
 
     Roots fall into bands of size (powers of two). Within a band they are ranked by a hash and dealt by systematic
-    sampling, so that of every run of roots each split gets its share to within one. The rank is found without sorting a
-    band in one task: rows are ranked within 1,024 hash buckets, and the buckets' counts give each an offset (at most
-    64 bands x 1,024 buckets rows, a fixed bound). Large bands come first to the split of the largest share. NULL sizes count
+    sampling, so that of every run of roots each split gets its share to within one. The rank, by md5 of the root, is found
+    without sorting a band in one task: rows are ranked within 4,096 hash buckets, and the buckets' counts give each an
+    offset (at most 64 bands x 4,096 buckets rows, a fixed bound). Large bands come first to the split of the largest share. NULL sizes count
     as one. Targets need not sum to 1; splits of share 0 get nothing.
     """
     total = sum(targets.values())
     names = sorted(targets, key=lambda s: (-targets[s], s))
     rows = roots.select(F.col(root).alias("root"), F.floor(F.log2(F.greatest(F.coalesce(F.col(size), F.lit(1)), F.lit(1)).cast("double"))).cast("int").alias("band"))
-    rows = rows.withColumn("h", F.xxhash64(F.col("root").cast("string"), F.lit(1))).withColumn("bucket", F.pmod("h", F.lit(DEALING_BUCKETS)).cast("int"))
+    rows = rows.withColumn("h", F.md5(F.col("root").cast("string"))).withColumn("bucket", F.substring("h", 1, DEALING_DIGITS))
     order = Window.partitionBy("band").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("band", "bucket").count().select("band", "bucket", F.coalesce(F.sum("count").over(order), F.lit(0)).alias("before"))
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("band", "bucket").orderBy("h", "root"))).join(F.broadcast(offsets), ["band", "bucket"])
