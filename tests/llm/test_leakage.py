@@ -1,9 +1,10 @@
 import json
 import random
+import tracemalloc
 
 import numpy as np
 
-from tarnwork.llm.leakage import leaked_passages, tiles
+from tarnwork.llm.leakage import common_runs, leaked_passages, tiles
 from tarnwork.llm.notebooks import words
 
 
@@ -68,3 +69,30 @@ def test_leaks(spark):
     assert any(r.coverage == 1.0 and r.tiles == 2 for r in got.values())
     assert leaked_passages(d.limit(0), "doc_id", "text", t, "item_id", ["prompt"]).count() == 0
     assert leaked_passages(d, "doc_id", "text", t.limit(0), "item_id", ["prompt"]).count() == 0
+
+
+def test_runs_go_on_from_lot_to_lot():
+    rnd = random.Random(8)
+    for _ in range(40):
+        item, doc = (np.array([rnd.randrange(0, 3) for _ in range(n)]) for n in (25, 70))
+        want = {tuple(r) for r in common_runs(item, doc, 3).tolist()}
+        assert want == {tuple(r) for r in common_runs(item, doc, 3, at_once=5).tolist()} and len(want) == len(common_runs(item, doc, 3, at_once=1))
+        longest = longest_common([x or -1 for x in item.tolist()], [x or -2 for x in doc.tolist()])
+        assert max((n for n, _, _ in want), default=0) == (longest if longest >= 3 else 0)
+
+
+def test_one_word_over_and_over_takes_little_memory():
+    tracemalloc.start()
+    longest, marked = tiles(np.ones(200, np.int64), np.ones(40_000, np.int64), 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert longest == 200 and marked == [(200, 0, 0)] and peak < 200e6
+    doc = np.array([1, 1, 1, 2] * 10_000)
+    assert tiles(np.array([1, 1, 1, 2] * 50), doc, 8)[0] == 200
+
+
+def test_a_seed_in_every_document(spark):
+    d = spark.range(2000).selectExpr("id as doc_id", "concat('one two three four five six seven eight nine ten ', if(id % 100 = 0, 'eleven twelve thirteen', 'other')) as text")
+    t = spark.createDataFrame([(i, "one two three four five six seven eight nine ten eleven twelve thirteen" if i == 0 else f"one two three four five six seven eight item{i}") for i in range(5)], "item_id int, prompt string")
+    got = leaked_passages(d, "doc_id", "text", t, "item_id", ["prompt"])
+    assert got.count() == 10_000 and got.where("longest_run >= 13").count() == 20
