@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
+from pyspark import SparkFiles
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -21,6 +24,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BINS = 16  # of the histogram of token numbers, by which the classifier sees the text
 TRAIN_ROWS = 20_000
+NAME_TRUST = 0.995  # how often a listed source is taken to be the true one
+REGULARISER = 0.2
+PRIOR_WEIGHT = 0.5  # of the empty row that stands for each class in the training rows
 MAX_DOMAINS = 1_000
 ROUNDS = 30
 
@@ -30,15 +36,26 @@ def normal_source(column: str) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(column, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), r"[\s\p{Z}\-]", "_")
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str):  # noqa: ANN202
+    """The tokenizer of a file, built once in a Python worker."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def count_tokens(docs: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """docs without the text, with its tokens and their histogram (shares of BINS bins). NULL and empty texts have none."""
+    """docs without the text, with its tokens and their histogram (shares of BINS bins). NULL and empty texts have none.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import tiktoken
+    The tokenizer's file need only be on the driver: Spark ships it to the executors.
+    """
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = _encoder(SparkFiles.get(name)).encode_ordinary
         for f in frames:
             tokens, shares = [], []
             for body in f.pop("_text"):
@@ -52,27 +69,48 @@ def count_tokens(docs: DataFrame, text: str, tokenizer: str = TOKENIZER) -> Data
     return docs.withColumnRenamed(text, "_text").mapInPandas(run, f"{fields}, tokens bigint, shares array<double>")
 
 
+def _vectors(rows: DataFrame, words: str) -> DataFrame:
+    sized = VectorSizeHint(inputCol="_shares", size=BINS, handleInvalid="optimistic").transform(rows.withColumn("_shares", array_to_vector("shares")))
+    hashed = HashingTF(inputCol=words, outputCol="_hashed", numFeatures=1024, binary=True).transform(sized)
+    return VectorAssembler(inputCols=["_hashed", "_shares"], outputCol="_x").transform(hashed)
+
+
+def _sampled(rows: DataFrame, label: str, classes: int, train_rows: int) -> DataFrame:
+    """The labelled rows, of every class at most about train_rows / classes picked by hash, with the weight that makes up for it."""
+    counts = {r[0]: r[1] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}  # a row a class
+    quota = max(1, train_rows // max(classes, 1))
+    parts = F.coalesce(*[F.when(F.col(label) == c, F.lit(-(-n // quota))) for c, n in sorted(counts.items())], F.lit(1))
+    return rows.where(F.col(label).isNotNull() & (F.pmod(F.xxhash64("key", F.lit(3)), parts) == 0)).withColumn("_weight", parts.cast("double"))
+
+
+def _fit(train: DataFrame, label: str, words: str, classes: int) -> LogisticRegressionModel:
+    """Multinomial logistic regression on words (strings) and shares; an empty row of small weight stands for every class, so
+    that one without a labelled row has a small posterior."""
+    empty = train.sparkSession.createDataFrame([(float(c), [], [0.0] * BINS, PRIOR_WEIGHT) for c in range(classes)], "y double, words array<string>, shares array<double>, w double")
+    rows = train.select(F.col(label).cast("double").alias("y"), F.col(words).alias("words"), "shares", F.col("_weight").alias("w")).repartition(4).unionByName(empty)
+    train = stage(_vectors(rows, "words").select("y", "_x", "w"), "mix-train")
+    return LogisticRegression(featuresCol="_x", labelCol="y", weightCol="w", family="multinomial", regParam=REGULARISER, maxIter=40).fit(train)
+
+
 def posteriors(rows: DataFrame, label: str, words: str, classes: int, train_rows: int) -> DataFrame:
     """rows with p, the posterior of each class, by multinomial logistic regression on words (strings) and shares.
 
-    It is fitted on the labelled rows, at most about train_rows of them picked by hash. A class without a labelled row
-    has posterior 0; with fewer than two classes labelled, all is certain.
+    It is fitted on the labelled rows, at most about train_rows of them, an equal number of each class, weighted back. The label
+    is no feature and doesn't change a row's own posterior.
     """
-    counts = {r[0]: r[1] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}  # a row a class
-    if len(counts) < 2:
-        sure = [1.0 if c in counts else 0.0 for c in range(classes)]
-        return rows.withColumn("p", F.array(*map(F.lit, sure if counts else [1.0 / classes] * classes)))
-    sized = VectorSizeHint(inputCol="_shares", size=BINS, handleInvalid="optimistic").transform(rows.withColumn("_shares", array_to_vector("shares")))
-    hashed = HashingTF(inputCol=words, outputCol="_hashed", numFeatures=1024, binary=True).transform(sized)
-    marked = VectorAssembler(inputCols=["_hashed", "_shares"], outputCol="_x").transform(hashed)
-    part = max(1, -(-sum(counts.values()) // train_rows))
-    seen = sorted(counts)
-    place = F.coalesce(*[F.when(F.col(label) == c, F.lit(float(i))) for i, c in enumerate(seen)])
-    train = stage(marked.where(F.col(label).isNotNull() & (F.pmod(F.xxhash64("key", F.lit(3)), F.lit(part)) == 0)).select(place.alias("y"), "_x").coalesce(4), "mix-train")
-    model = LogisticRegression(featuresCol="_x", labelCol="y", family="multinomial", regParam=1e-5, maxIter=40).fit(train)
-    found = min(model.numClasses, len(seen))
-    p = vector_to_array("probability")
-    return model.transform(marked).withColumn("p", F.array(*[p[seen.index(c)] if c in seen and seen.index(c) < found else F.lit(0.0) for c in range(classes)])).drop("_x", "_hashed", "_shares", "rawPrediction", "probability", "prediction")
+    if classes < 2:
+        return rows.withColumn("p", F.array(*[F.lit(1.0)] * classes).cast("array<double>"))
+    model = _fit(_sampled(rows, label, classes, train_rows), label, words, classes)
+    return model.transform(_vectors(rows, words)).withColumn("p", vector_to_array("probability")).drop("_x", "_hashed", "_shares", "rawPrediction", "probability", "prediction")
+
+
+def memberships(rows: DataFrame, label: str, classes: int, trust: float = NAME_TRUST) -> DataFrame:
+    """rows with p weighed by the written label: right with probability `trust`, else any other class. Without a label p stays."""
+    if classes < 2:
+        return rows
+    weighed = F.transform("p", lambda x, i: x * F.when(F.col(label).isNull(), F.lit(1.0)).when(i == F.col(label), F.lit(trust)).otherwise(F.lit((1 - trust) / (classes - 1))))
+    whole = rows.withColumn("p", weighed).withColumn("_whole", F.aggregate("p", F.lit(0.0), lambda s, y: s + y))
+    return whole.withColumn("p", F.transform("p", lambda x: x / F.col("_whole"))).drop("_whole")
 
 
 def replay(history: np.ndarray, p: np.ndarray, cap: np.ndarray) -> np.ndarray:
@@ -108,10 +146,45 @@ def draw_whole(rates: DataFrame) -> DataFrame:
     before = Window.partitionBy("domain", "band").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = marked.where(open_).groupBy("domain", "band", "bucket").count().select("domain", "band", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     offsets = offsets.join(F.broadcast(spark.createDataFrame(more, "domain int, band int, more int")), ["domain", "band"]).where("before < more")
-    place = F.row_number().over(Window.partitionBy("domain", "band", "bucket", open_).orderBy("q", "key"))
-    ranked = marked.withColumn("place", place).join(offsets, ["domain", "band", "bucket"], "left")
-    extra = F.coalesce(open_ & (F.col("before") + F.col("place") <= F.col("more")), F.lit(False)).cast("int")
-    return ranked.withColumn("repeats", F.least(F.floor("rate") + extra, F.col("cap").cast("bigint")).cast("int")).select(*rates.columns, "repeats")
+    # only rows of buckets that reach the number of their band are ranked
+    met = marked.where(open_).join(offsets, ["domain", "band", "bucket"], "left")
+    place = F.row_number().over(Window.partitionBy("domain", "band", "bucket").orderBy("q", "key"))
+    ranked = met.where("before is not null").withColumn("extra", (F.col("before") + place <= F.col("more")).cast("int"))
+    none = [marked.where(~F.coalesce(open_, F.lit(False))), met.where("before is null")]
+    every = reduce(DataFrame.unionByName, [x.select(*rates.columns, F.lit(0).alias("extra")) for x in none], ranked.select(*rates.columns, "extra"))
+    return every.withColumn("repeats", F.least(F.floor("rate") + F.col("extra"), F.col("cap").cast("bigint")).cast("int")).drop("extra")
+
+
+def _described(docs: DataFrame, doc_id: str, text: str, source: str, traits: list[str], wish: list, tokenizer: str) -> DataFrame:
+    """key, domain (the listed target of the written source, if any), words (the traits, for the classifier), tokens, shares."""
+    spot = docs.sparkSession.createDataFrame([(r.name, i) for i, r in enumerate(wish)], "name string, domain int")
+    traits_ = [F.concat(F.lit(f"{t}:"), F.coalesce(F.col(t).cast("string"), F.lit(""))) for t in traits]
+    rows = docs.select(F.col(doc_id).alias("key"), F.coalesce(normal_source(source), F.lit("")).alias("name"), F.array(*traits_).cast("array<string>").alias("words"), F.col(text).alias("body"))
+    return count_tokens(rows.join(F.broadcast(spot), "name", "left").select("key", "domain", "words", "body"), "body", tokenizer)
+
+
+def _wishes(targets: DataFrame) -> list:
+    wish = targets.select(normal_source("source_name").alias("name"), F.col("source_name"), F.col("target_share").cast("double"), F.col("max_repeats").cast("double")).where("source_name is not null").limit(MAX_DOMAINS + 1).collect()
+    if len(wish) > MAX_DOMAINS:
+        raise ValueError("too many targets")
+    return sorted(wish, key=lambda r: r.name)
+
+
+def posterior_quality(docs: DataFrame, doc_id: str, text: str, source: str, traits: list[str], targets: DataFrame, tokenizer: str = TOKENIZER, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(rows, log_loss, prior_log_loss, accuracy, commonest): the classifier's posteriors on a fifth of the documents with a listed
+    source, held out by hash, beside those of the shares alone. prior_log_loss is the entropy of the held-out sources."""
+    wish = _wishes(targets)
+    n = len(wish)
+    counted = stage(_described(docs, doc_id, text, source, traits, wish, tokenizer).where("domain is not null"), "mix-counted")
+    held = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(5)) == 0
+    if n < 2 or counted.where(~held).isEmpty():
+        return counted.limit(0).agg(F.count(F.lit(1)).alias("rows")).selectExpr("rows", "cast(null as double) as log_loss", "cast(null as double) as prior_log_loss", "cast(null as double) as accuracy", "cast(null as double) as commonest")
+    model = _fit(_sampled(counted.where(~held), "domain", n, train_rows), "domain", "words", n)
+    p = model.transform(_vectors(counted.where(held), "words")).select("domain", vector_to_array("probability").alias("p"))
+    own = F.get("p", F.col("domain"))
+    by = stage(p.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.sum(-F.log(F.greatest(own, F.lit(1e-12)))).alias("loss"), F.count_if(own == F.array_max("p")).alias("right")), "mix-quality")
+    all_ = by.agg(F.sum("n").alias("rows"))
+    return by.join(F.broadcast(all_)).groupBy("rows").agg((F.sum("loss") / F.first("rows")).alias("log_loss"), F.sum(-F.col("n") / F.col("rows") * F.log(F.col("n") / F.col("rows"))).alias("prior_log_loss"), (F.sum("right") / F.first("rows")).alias("accuracy"), (F.max("n") / F.first("rows")).alias("commonest"))
 
 
 def mix_to_targets(docs: DataFrame, doc_id: str, text: str, source: str, traits: list[str], targets: DataFrame, tokenizer: str = TOKENIZER, train_rows: int = TRAIN_ROWS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -121,32 +194,25 @@ def mix_to_targets(docs: DataFrame, doc_id: str, text: str, source: str, traits:
     The wished size of a target is its share of the tokens of all documents. report: own_tokens and reach (max_repeats x
     own tokens over all tokens) by the written source; fitted_share, what the rates give in expectation over the
     memberships; drawn_tokens with their share of all tokens (drawn_share, to hold against the wish) and of what is drawn (actual_share); falls_short, where both the fit stays below
-    the wish and reach does. Documents of unlisted, odd or NULL sources are members of targets by their posterior. NULL and empty
+    the wish and reach does. Documents of unlisted, odd or NULL sources are members of targets by their posterior alone; without targets nothing is drawn. NULL and empty
     texts have no tokens; repeated rows are rows of their own; empty tables give an empty draw and a report of zeros.
 
-    Method: logistic regression on the rows with a listed source gives each document its posterior over targets (from
-    its written source, traits and token histogram). Rates between 0 and the cap of the likeliest target then minimise
-    the squared gaps between expected tokens and wishes, each weighted by the target's mass; with each document's step
+    Method: logistic regression on the rows with a listed source gives each document its posterior over targets, from its
+    traits and token histogram alone; the source's name is no feature. The written source then weighs it as evidence that is
+    right in NAME_TRUST of all cases (memberships), so that no membership is certain. Rates between 0 and the cap of the likeliest target then minimise
+    the squared gaps between expected tokens and wishes, each over the target's mass or its wish, whichever is more; with each document's step
     scaled by its tokens, a step of 1 is safe, and a few rounds settle. A round is one sum over all documents; only a
     number a target passes the driver, and a document's rate is worked out again from the history of these numbers.
     A rate is drawn as its whole part, and for some documents one more (see draw_whole).
     """
     spark = docs.sparkSession
-    wish = targets.select(normal_source("source_name").alias("name"), F.col("source_name"), F.col("target_share").cast("double"), F.col("max_repeats").cast("double")).where("source_name is not null").limit(MAX_DOMAINS + 1).collect()
-    if len(wish) > MAX_DOMAINS:
-        raise ValueError("too many targets")
-    wish = sorted(wish, key=lambda r: r.name)
-    spot = spark.createDataFrame([(r.name, i) for i, r in enumerate(wish)], "name string, domain int")
-    traits_ = [F.concat(F.lit(f"{t}:"), F.coalesce(F.col(t).cast("string"), F.lit(""))) for t in traits]
-    name = normal_source(source)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 2, F.lit(1))), lambda i: F.concat(F.lit("g:"), F.substring(F.col("name"), i, F.lit(3))))
-    rows = docs.select(F.col(doc_id).alias("key"), F.coalesce(name, F.lit("")).alias("name"), *[t.alias(f"t{i}") for i, t in enumerate(traits_)], F.col(text).alias("body"))
-    rows = rows.join(F.broadcast(spot), "name", "left").select("key", "domain", F.concat(F.array(F.concat(F.lit("s:"), "name"), *[F.col(f"t{i}") for i in range(len(traits_))]), grams).alias("words"), "body")
-    counted = stage(count_tokens(rows, "body", tokenizer), "mix-counted")
+    wish = _wishes(targets)
     n = len(wish)
+    counted = stage(_described(docs, doc_id, text, source, traits, wish, tokenizer), "mix-counted")
     caps = F.array(*[F.lit(r.max_repeats) for r in wish])
     own = F.coalesce(F.col("domain"), (F.array_position("p", F.array_max("p")) - 1).cast("int"))
-    ready = stage(posteriors(counted, "domain", "words", n, train_rows).select("key", F.col("domain").alias("written"), own.alias("domain"), "tokens", F.get(caps, own).alias("cap"), "p"), "mix-ready")
+    known = memberships(posteriors(counted, "domain", "words", n, train_rows), "domain", n)
+    ready = stage(known.select("key", F.col("domain").alias("written"), own.alias("domain"), "tokens", F.coalesce(F.get(caps, own).cast("double"), F.lit(0.0)).alias("cap"), "p"), "mix-ready")
 
     masses = np.zeros(n)
     history = np.zeros((0, n))
@@ -170,7 +236,8 @@ def mix_to_targets(docs: DataFrame, doc_id: str, text: str, source: str, traits:
     wanted = np.array([r.target_share for r in wish]) * total
     got = expected(history)
     for _ in range(rounds if total else 0):
-        step = np.where(masses > 0, (got - wanted) / np.where(masses > 0, masses, 1.0), 0.0)
+        scale = np.maximum(masses, wanted)
+        step = np.where(scale > 0, (got - wanted) / np.where(scale > 0, scale, 1.0), 0.0)
         history = np.vstack([history, step])
         after = expected(history)
         settled = np.abs(after - got).max() <= 1e-4 * total

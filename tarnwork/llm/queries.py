@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.llm.components import connected_groups
 from tarnwork.llm.leakage import leaked_passages
-from tarnwork.llm.mixing import mix_to_targets
+from tarnwork.llm.mixing import mix_to_targets, posterior_quality
 from tarnwork.llm.pii import find_personal, redact
 from tarnwork.llm.splits import keep_together_splits, torn_entities
 from tarnwork.llm.topn import top_n_per_group
@@ -79,9 +79,15 @@ def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).where(F.col("coverage") >= LEAK_COVERAGE)
 
 
+TRAITS = ["owner", "layout", "kernel", "lang"]
+
+
+def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").withColumn("owner", F.substring_index("repo", "/", 1))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").withColumn("owner", F.substring_index("repo", "/", 1))
-    return mix_to_targets(docs, "doc_id", "text", "source", ["owner", "layout", "kernel", "lang"], table(spark, sf_dir, "mix_targets"))
+    return mix_to_targets(_owned(spark, sf_dir), "doc_id", "text", "source", TRAITS, table(spark, sf_dir, "mix_targets"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +104,11 @@ def p7_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[0]
 
 
+def p7_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the classifier's posteriors fit held-out notebooks."""
+    return posterior_quality(_owned(spark, sf_dir), "doc_id", "text", "source", TRAITS, table(spark, sf_dir, "mix_targets"))
+
+
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_hints"))
 
@@ -112,7 +123,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_coverage": p6_coverage, "p7_found": p7_found, "p7_shares": p7_shares, "p7_draws": p7_draws, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_coverage": p6_coverage, "p7_found": p7_found, "p7_shares": p7_shares, "p7_draws": p7_draws, "p7_posteriors": p7_posteriors, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 _SEEN = """

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tarnwork.llm.mixing import draw_whole, mix_to_targets, normal_source, replay
+from tarnwork.llm.mixing import draw_whole, mix_to_targets, normal_source, posterior_quality, replay
 
 
 def test_names(spark):
@@ -54,3 +54,21 @@ def test_mixing(spark):
     assert abs(sum(x.actual_share for x in r.values()) - 1) < 1e-9
     empty, zero = mix_to_targets(docs.limit(0), "doc_id", "text", "source", ["domain"], targets)
     assert empty.count() == 0 and zero.where(F.col("drawn_tokens") != 0).count() == 0 and zero.count() == 4
+
+
+def test_posteriors_know_nothing_of_the_name(spark):
+    rnd = random.Random(3)
+    rows = [(i, f"d{i % 3}", ["a", "b", "c"][i % 3] if i % 2 else "same", "word " * rnd.randrange(1, 9)) for i in range(900)]
+    rows += [(900 + i, "small", "z", "other text") for i in range(3)] + [(1000, None, "a", "word")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, trait string, text string")
+    targets = spark.createDataFrame([("d0", 0.3, 1), ("d1", 0.3, 1), ("d2", 0.399, 2), ("small", 0.001, 9)], "source_name string, target_share double, max_repeats int")
+    quality = posterior_quality(docs, "doc_id", "text", "source", ["trait"], targets).first()
+    # half of the documents show their source, the others look all alike
+    assert 0.4 < quality.log_loss < 0.75 < quality.prior_log_loss and 0.55 < quality.accuracy < 0.8
+    draws, report = mix_to_targets(docs, "doc_id", "text", "source", ["trait"], targets, train_rows=300)
+    r = {x.source_name: x for x in report.collect()}
+    assert r["small"].fitted_share > 0.0005 and r["small"].drawn_tokens > 0 and not r["small"].falls_short
+    assert posterior_quality(docs.limit(0), "doc_id", "text", "source", ["trait"], targets).first().rows == 0
+    one, _ = mix_to_targets(docs, "doc_id", "text", "source", ["trait"], targets.limit(1))
+    assert one.count() == len(rows)
+    assert mix_to_targets(docs, "doc_id", "text", "source", ["trait"], targets.limit(0))[1].count() == 0
