@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnwork.llm.components import connected_groups
 from tarnwork.llm.leakage import leaked_passages
 from tarnwork.llm.mixing import mix_to_targets, posterior_quality
-from tarnwork.llm.pii import find_personal, redact
+from tarnwork.llm.pii import find_personal, redact_personal
 from tarnwork.llm.splits import keep_together_splits, torn_entities
 from tarnwork.llm.topn import top_n_per_group
 from tarnwork.sources.tables import table
@@ -119,7 +119,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every notebook with placeholders for what p8_found finds."""
-    return redact(table(spark, sf_dir, "documents"), "doc_id", "text", _personal(spark, sf_dir))
+    return redact_personal(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_hints"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
