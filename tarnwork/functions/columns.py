@@ -1,14 +1,11 @@
-"""Column builders: strict logarithms, rule cascades, exact binomial tests, windows for ranks and false-discovery rates."""
+"""Column builders: strict logarithms, rule cascades, exact binomial tests, ranks of small groups."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwork.operators.joins import join_null_safe
-from tarnwork.session import stage
-
 
 def is_true(c: Column) -> Column:
     """A failed or unknown comparison counts as false."""
@@ -52,34 +49,9 @@ def exact_binary_p(a: str, b: str) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), 2 * F.exp(start + F.log(tail))))
 
 
-def benjamini_hochberg(df: DataFrame, p: str, out: str, family: list[str], tie: list[str], buckets: int = 256) -> DataFrame:
-    """df with the false-discovery rate of p within its family, NULL where p is NULL or NaN; ties by `tie`.
-
-    q = min over p' >= p of p' x m / rank. A family is not sorted in one task: p is cut into buckets by value, ranked
-    within them, and the buckets' counts and least ratios (at most `buckets` rows a family) give offset and bound.
-    """
-    ok = is_true(F.col(p).isNotNull() & ~F.isnan(p))
-    # buckets follow the bits of p, so that small values spread too
-    cut = F.when(ok, F.least(F.floor(-F.log2(F.greatest(F.col(p), F.lit(1e-300))) * 4), F.lit(buckets - 1)).cast("int"))
-    rows = stage(df.withColumn("_ok", ok).withColumn("_cut", cut), "fdr-rows")  # read three times below
-    keys = [*family, "_ok", "_cut"]
-    inside = Window.partitionBy(*keys).orderBy(p, *tie)
-    rows = rows.withColumn("_n", F.row_number().over(inside))
-    counts = rows.where("_ok").groupBy(*family, "_cut").agg(F.count(F.lit(1)).alias("_c"))
-    # a larger _cut means a smaller p
-    lower = Window.partitionBy(*family).orderBy(F.desc("_cut")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(lower), F.lit(0))).withColumn("_m", F.sum("_c").over(Window.partitionBy(*family) if family else Window.partitionBy(F.lit(1))))
-    met = join_null_safe(rows, counts.drop("_c"), [*family, "_cut"], "left").withColumn("_ratio", F.when(F.col("_ok"), F.col(p) * F.col("_m") / (F.col("_before") + F.col("_n"))))
-    least = met.where("_ok").groupBy(*family, "_cut").agg(F.min("_ratio").alias("_r"))
-    upper = Window.partitionBy(*family).orderBy(F.asc("_cut")).rowsBetween(Window.unboundedPreceding, -1)
-    least = least.withColumn("_bound", F.min("_r").over(upper)).drop("_r")
-    met = join_null_safe(met, least, [*family, "_cut"], "left")
-    run = F.min("_ratio").over(Window.partitionBy(*keys).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0))
-    return met.withColumn(out, F.when(F.col("_ok"), F.least(run, F.col("_bound"), F.lit(1.0)))).select(*df.columns, out)
-
-
 def average_rank(value: str, by: list[str]) -> Column:
-    """Average rank of ties, from 1; NULL for NULL. For groups of bounded size; ranks in one group share an exchange."""
+    """Average rank of ties, from 1; NULL for NULL. For groups of bounded size (the features of one entity), which one task sorts;
+    ranks in one group share an exchange. operators.ranking.average_ranks ranks groups of any size."""
     w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(value))
     ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
     return F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2)

@@ -42,30 +42,45 @@ def student_quantile(p: float, df: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(df) & (df > 0), (low + high) / 2, np.nan)
 
 
-def digamma(x: float) -> float:
-    out = 0.0
-    while x < 8:
-        out -= 1 / x
-        x += 1
-    y = 1 / (x * x)
-    return out + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
+#: fixed values: the Bernoulli numbers B2, B4, ... B14
+_BERNOULLI = np.array([1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730, 7 / 6])
+_K = 2 * np.arange(1, len(_BERNOULLI) + 1)
+_BELOW = np.arange(16)  # terms taken off before the series for large arguments is used
+
+
+def polygamma(order: int, x: np.ndarray) -> np.ndarray:
+    """digamma (order 0), trigamma (1) or tetragamma (2) of x > 0, for whole arrays: 16 terms of the recurrence at once, then
+    the asymptotic series at x + 16, whose next term is below 1e-16."""
+    x = np.asarray(x, float)
+    near = x[..., None] + _BELOW
+    z = x + len(_BELOW)
+    powers = z[..., None] ** -_K
+    if order == 0:
+        return np.log(z) - 1 / (2 * z) - powers @ (_BERNOULLI / _K) - (1 / near).sum(-1)
+    if order == 1:
+        return 1 / z + 1 / (2 * z**2) + powers @ _BERNOULLI / z + (1 / near**2).sum(-1)
+    return -1 / z**2 - 1 / z**3 - powers @ (_BERNOULLI * (_K + 1)) / z**2 - 2 * (1 / near**3).sum(-1)
 
 
-def trigamma(x: float) -> float:
-    out = 0.0
-    while x < 8:
-        out += 1 / (x * x)
-        x += 1
-    y = 1 / (x * x)
-    return out + 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y / 30)))
+def digamma(x: float) -> float:
+    return float(polygamma(0, x))
 
 
-def trigamma_inverse(value: float) -> float:
-    low, high = math.log(1e-4), math.log(1e6)
-    for _ in range(100):
-        middle = (low + high) / 2
-        low, high = (middle, high) if trigamma(math.exp(middle)) > value else (low, middle)
-    return math.exp((low + high) / 2)
+def trigamma(x: float) -> float:
+    return float(polygamma(1, x))
+
+
+def trigamma_inverse(y: np.ndarray) -> np.ndarray:
+    """The x with trigamma(x) = y > 0: Newton's steps on 1 / trigamma, which is nearly a straight line, from 1/2 + 1 / y."""
+    y = np.asarray(y, float)
+    x = 0.5 + 1 / y
+    for _ in range(60):
+        value = polygamma(1, x)
+        step = value * (1 - value / y) / polygamma(2, x)
+        x = x + step
+        if np.all(np.abs(step) <= 1e-14 * x):
+            break
+    return x
 
 
 def student_p(t: Column, df: Column) -> Column:

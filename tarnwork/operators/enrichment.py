@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwork.functions.columns import benjamini_hochberg, clip
+from tarnwork.functions.columns import clip
 from tarnwork.operators.qc import MAD_SCALE
+from tarnwork.operators.ranking import benjamini_hochberg
 from tarnwork.session import stage
 
 
@@ -91,7 +92,7 @@ def enrichment_null(places: DataFrame, scores: DataFrame, permutations: int = 20
         ((F.count_if(F.abs("null_score") >= F.abs("score")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"),
     )
     met = met.withColumn("nes", F.try_divide("score", F.coalesce("same", "any"))).drop("same", "any")
-    return benjamini_hochberg(met, "p", "q", [], ["set_id"])
+    return benjamini_hochberg(met, "p", "q", [])
 
 
 def set_scores(pairs: DataFrame, members: DataFrame, entities: DataFrame, smallest: int) -> DataFrame:
@@ -132,7 +133,7 @@ def sign_flip(scores: DataFrame, flips: int = 2000, seed: int = 1, most: int = 1
             yield f.drop(columns="v").assign(p=p)
 
     out = arrays.mapInPandas(run, f"set_id {scores.schema['set_id'].dataType.simpleString()}, mean double, entities bigint, p double")
-    return benjamini_hochberg(out, "p", "q", [], ["set_id"])
+    return benjamini_hochberg(out, "p", "q", [])
 
 
 def leading_edges(places: DataFrame, sets: DataFrame, scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

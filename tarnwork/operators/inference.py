@@ -7,12 +7,14 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.functions.columns import benjamini_hochberg, cascade, exact_binary_p, is_true
+from tarnwork.functions.columns import cascade, exact_binary_p, is_true
 from tarnwork.functions.kernels import digamma, student_p, student_t, trigamma, trigamma_inverse
 from tarnwork.operators.pairing import moments
+from tarnwork.operators.ranking import benjamini_hochberg
 from tarnwork.session import stage
 
-LEAST_VARIANCES = 20
+#: fixed values of the prior: fewest variances, percentiles at which their logarithms are cut, least excess, most degrees of freedom
+LEAST_VARIANCES, CUTS, LEAST_EXCESS, MOST_DF = 20, (0.05, 0.95), 1e-6, 1e6
 
 
 def variance_priors(stats: DataFrame, scenario: list[str]) -> DataFrame:
@@ -23,7 +25,7 @@ def variance_priors(stats: DataFrame, scenario: list[str]) -> DataFrame:
     term. Sums go to the driver by number of pairs (as many rows as there are pair counts). Fewer than 20 variances give no prior.
     """
     logs = stats.where((F.col("pairs") > 1) & (F.col("variance") > 0)).select(*scenario, "pairs", F.log("variance").alias("v"))
-    edge = logs.groupBy(*scenario).agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.95))).alias("e"))
+    edge = logs.groupBy(*scenario).agg(F.percentile("v", F.array(*map(F.lit, CUTS))).alias("e"))
     met = logs.join(edge, scenario) if scenario else logs.join(F.broadcast(edge))
     cut = F.least(F.greatest("v", F.get("e", F.lit(0))), F.get("e", F.lit(1)))
     sums = met.groupBy(*scenario, "pairs").agg(F.count(F.lit(1)).alias("k"), F.sum("v").alias("v"), F.sum(cut).alias("c"), F.sum(cut * cut).alias("cc")).collect()
@@ -36,38 +38,46 @@ def variance_priors(stats: DataFrame, scenario: list[str]) -> DataFrame:
         if k < LEAST_VARIANCES:
             continue
         c, cc = sum(r.c for r in rows), sum(r.cc for r in rows)
-        between = max((cc - c * c / k) / (k - 1) - sum(r.k * trigamma((r.pairs - 1) / 2) for r in rows) / k, 1e-6)
-        d0 = min(2 * trigamma_inverse(between), 1e6)
+        between = max((cc - c * c / k) / (k - 1) - sum(r.k * trigamma((r.pairs - 1) / 2) for r in rows) / k, LEAST_EXCESS)
+        d0 = min(2 * float(trigamma_inverse(between)), MOST_DF)
         level = sum(r.v - r.k * (digamma((r.pairs - 1) / 2) - math.log((r.pairs - 1) / 2)) for r in rows) / k
         out.append((*key, d0, math.exp(level + digamma(d0 / 2) - math.log(d0 / 2))))
     schema = ", ".join([*[f"{s} {stats.schema[s].dataType.simpleString()}" for s in scenario], "d0 double", "s0 double"])
     return stats.sparkSession.createDataFrame(out, schema)
 
 
-def abundance_inference(pairs: DataFrame, least_pairs: int = 10, level: float = 0.95, scenario: tuple[str, ...] = (), stats: DataFrame | None = None) -> DataFrame:
-    """Moderated and ordinary paired t for every scenario and feature; p, interval and q only from least_pairs pairs on.
+def paired_tests(stats: DataFrame, scenario: list[str]) -> DataFrame:
+    """stats (moments with eligible, a row a scenario and feature) with moderated and ordinary standard error, t and p; p where eligible.
 
-    Posterior variance (d0 s0 + df s2) / (d0 + df). Features without a variance have no t; an empty table gives an empty result. stats may bring the moments already worked out.
+    The prior of a scenario comes from its eligible features; posterior variance (d0 s0 + df s2) / (d0 + df). Features without a
+    variance have no t.
     """
-    keys = list(scenario)
-    stats = stats or stage(moments(pairs, (*keys, "feature_key")), "inference-moments")
-    prior = variance_priors(stats.where(F.col("pairs") >= least_pairs), keys)
-    met = stats.join(F.broadcast(prior), keys, "left") if keys else stats.join(F.broadcast(prior), F.lit(True), "left")
+    prior = variance_priors(stats.where("eligible"), scenario)
+    met = stats.join(F.broadcast(prior), scenario, "left") if scenario else stats.join(F.broadcast(prior), F.lit(True), "left")
     df = F.col("pairs") - 1
-    met = met.withColumn("eligible", is_true(F.col("pairs") >= least_pairs))
     met = met.withColumn("posterior", F.try_divide(F.col("d0") * F.col("s0") + df * F.col("variance"), F.col("d0") + df))
     met = met.withColumn("se", F.sqrt(F.try_divide("posterior", "pairs"))).withColumn("moderated_t", F.try_divide("mean", "se")).withColumn("moderated_df", F.col("d0") + df)
     met = met.withColumn("ordinary_se", F.sqrt(F.try_divide("variance", "pairs"))).withColumn("ordinary_t", F.when(F.col("ordinary_se") > 0, F.try_divide("mean", "ordinary_se")))
     tested = F.col("eligible") & F.col("moderated_t").isNotNull()
-    met = met.withColumn("p", F.when(tested, student_p(F.col("moderated_t"), F.col("moderated_df")))).withColumn("ordinary_p", F.when(F.col("eligible"), student_p(F.col("ordinary_t"), df.cast("double"))))
+    return met.withColumn("p", F.when(tested, student_p(F.col("moderated_t"), F.col("moderated_df")))).withColumn("ordinary_p", F.when(F.col("eligible"), student_p(F.col("ordinary_t"), df.cast("double"))))
+
+
+def abundance_inference(pairs: DataFrame, least_pairs: int = 10, level: float = 0.95, scenario: tuple[str, ...] = ()) -> DataFrame:
+    """Moderated and ordinary paired t for every scenario and feature; p, interval and q only from least_pairs pairs on.
+
+    An empty table gives an empty result.
+    """
+    keys = list(scenario)
+    stats = stage(moments(pairs, (*keys, "feature_key")), "inference-moments")
+    met = paired_tests(stats.withColumn("eligible", is_true(F.col("pairs") >= least_pairs)), keys)
     half = student_t(level, F.col("moderated_df")) * F.col("se")
-    met = met.withColumn("ci_low", F.when(tested, F.col("mean") - half)).withColumn("ci_high", F.when(tested, F.col("mean") + half))
-    return benjamini_hochberg(met, "p", "q", keys, ["feature_key"])
+    met = met.withColumn("ci_low", F.when(F.col("p").isNotNull(), F.col("mean") - half)).withColumn("ci_high", F.when(F.col("p").isNotNull(), F.col("mean") + half))
+    return benjamini_hochberg(met, "p", "q", keys)
 
 
 def detection_inference(states: DataFrame) -> DataFrame:
     """Exact sign test of N-only against T-only entities per feature; q over the features with a discordant entity."""
-    return benjamini_hochberg(states.withColumn("p", exact_binary_p("t_only", "n_only")), "p", "q", [], ["feature_key"])
+    return benjamini_hochberg(states.withColumn("p", exact_binary_p("t_only", "n_only")), "p", "q", [])
 
 
 def integrate_evidence(abundance: DataFrame, detection: DataFrame, q: float = 0.05, effect: float = 0.5) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tarnwork.functions.columns import average_rank, benjamini_hochberg, is_true
-from tarnwork.operators.inference import abundance_inference
+from tarnwork.functions.columns import average_rank, is_true
+from tarnwork.operators.inference import paired_tests
 from tarnwork.operators.pairing import moments
+from tarnwork.operators.ranking import average_ranks, benjamini_hochberg
 from tarnwork.session import stage
 
 
@@ -27,19 +25,19 @@ def scenario_pairs(plain: DataFrame, centred: DataFrame, flagged: DataFrame) ->
 def multiverse(pairs: DataFrame, thresholds: list[int], q: float = 0.05, effect: float = 0.5) -> DataFrame:
     """Every scenario (representation, cohort, least pairs, estimator) x feature: effect, statistic, p, q, core and rank of |statistic| in percent.
 
-    Moments and priors are worked out once per representation and cohort for each threshold; estimators share them.
+    Moments are worked out once per representation and cohort; the thresholds are a key of one pass over priors and tests, and
+    estimators share its rows.
     """
-    parts = []
-    stats = stage(moments(pairs, ("representation", "cohort", "feature_key")), "multiverse-moments")
-    for k in thresholds:
-        t = abundance_inference(pairs, k, scenario=("representation", "cohort"), stats=stats).where("eligible")
-        for name, stat, p in (("moderated", "moderated_t", "p"), ("ordinary", "ordinary_t", "ordinary_p")):
-            parts.append(t.select("representation", "cohort", F.lit(k).alias("least_pairs"), F.lit(name).alias("estimator"), "feature_key", "mean", F.col(stat).alias("statistic"), F.col(p).alias("p")))
+    stats = moments(pairs, ("representation", "cohort", "feature_key"))
+    stats = stats.withColumn("least_pairs", F.explode(F.array(*[F.lit(k) for k in thresholds]))).where(F.col("pairs") >= F.col("least_pairs")).withColumn("eligible", F.lit(True))
+    t = paired_tests(stage(stats, "multiverse-moments"), ["representation", "cohort", "least_pairs"])
+    both = F.explode(F.array(*[F.struct(F.lit(n).alias("estimator"), F.col(t_).alias("statistic"), F.col(p).alias("p")) for n, t_, p in (("moderated", "moderated_t", "p"), ("ordinary", "ordinary_t", "ordinary_p"))]))
     keys = ["representation", "cohort", "least_pairs", "estimator"]
-    every = benjamini_hochberg(reduce(DataFrame.unionByName, parts), "p", "q", keys, ["feature_key"])
+    every = t.select("representation", "cohort", "least_pairs", "feature_key", "mean", both.alias("e")).select("representation", "cohort", "least_pairs", "e.estimator", "feature_key", "mean", "e.statistic", "e.p")
+    every = benjamini_hochberg(every, "p", "q", keys)
     every = every.withColumn("core", is_true((F.col("q") <= q) & (F.abs("mean") >= effect))).withColumn("size", F.abs("statistic"))
-    share = average_rank("size", keys) / F.sum(F.when(F.col("size").isNotNull(), 1)).over(Window.partitionBy(*keys))
-    return every.withColumn("rank_percent", share).drop("size").withColumn("scenario_id", F.concat_ws("|", "representation", "cohort", F.col("least_pairs").cast("string"), "estimator"))
+    every = average_ranks(every, "size", "_rank", keys).withColumn("rank_percent", F.col("_rank") / F.col("_rank_of")).drop("size", "_rank", "_rank_of")
+    return every.withColumn("scenario_id", F.concat_ws("|", "representation", "cohort", F.col("least_pairs").cast("string"), "estimator"))
 
 
 def leave_one_out(pairs: DataFrame) -> DataFrame:

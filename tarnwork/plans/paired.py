@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwork.functions.columns import average_rank, benjamini_hochberg, cascade, clip, exact_binary_p, is_true, quantile_bin, usable
+from tarnwork.functions.columns import cascade, clip, exact_binary_p, is_true, quantile_bin, usable
 from tarnwork.operators import cohorts, enrichment, evaluation, inference, modelling, pairing, qc, robustness, selection
+from tarnwork.operators.ranking import average_ranks, benjamini_hochberg
 from tarnwork.plans.problems import BATCH
 from tarnwork.session import stage
 from tarnwork.sources.tables import table
@@ -325,13 +326,14 @@ def st7(spark: SparkSession, d: str) -> DataFrame:
 def win1(spark: SparkSession, d: str) -> DataFrame:
     """Sign tests with one family a sheet."""
     s = pairs_of(spark, d).join(table(spark, d, "feature_manifest").select("feature_key", "source_sheet"), "feature_key").groupBy("source_sheet", "feature_key").agg(F.count_if(F.col("delta") > 0).alias("up"), F.count_if(F.col("delta") < 0).alias("down"))
-    return benjamini_hochberg(s.withColumn("p", exact_binary_p("up", "down")), "p", "q", ["source_sheet"], ["feature_key"]).select("source_sheet", "feature_key", "up", "down", (F.round(F.log("q"), 6) + F.lit(0.0)).alias("log_q"))
+    return benjamini_hochberg(s.withColumn("p", exact_binary_p("up", "down")), "p", "q", ["source_sheet"]).select("source_sheet", "feature_key", "up", "down", (F.round(F.log("q"), 6) + F.lit(0.0)).alias("log_q"))
 
 
 @query("win2_average_rank", f"with {CELLS}, f as (select source_sheet, feature_key, count(*) as observed from cells join feature_manifest using (feature_key) group by all) select source_sheet, feature_key, observed, round((rank() over (partition by source_sheet order by observed) + (count(*) over (partition by source_sheet, observed) - 1) / 2) / count(*) over (partition by source_sheet), 6) as rank_percent from f")
 def win2(spark: SparkSession, d: str) -> DataFrame:
     f = cells_of(spark, d).groupBy("feature_key").agg(F.count(F.lit(1)).alias("observed")).join(table(spark, d, "feature_manifest").select("feature_key", "source_sheet"), "feature_key")
-    return rounded(f.select("source_sheet", "feature_key", "observed", (average_rank("observed", ["source_sheet"]) / F.count(F.lit(1)).over(Window.partitionBy("source_sheet"))).alias("rank_percent")))
+    ranks = average_ranks(f, "observed", "rank", ["source_sheet"])
+    return rounded(ranks.select("source_sheet", "feature_key", "observed", (F.col("rank") / F.col("rank_of")).alias("rank_percent")))
 
 
 @query("win7_stratified_z", f"with {CELLS}, p as (select sample_id, cond, median(y) as level from cells group by all), m as (select cond, median(level) as m_ from p group by all), a as (select *, abs(level - m_) as dev from p join m using (cond)), s as (select cond, median(dev) as mad from a group by all) select sample_id, cond, round(level, 6) as level, round(case when mad > 0 then (level - m_) / (1.4826 * mad) else 0 end, 6) as z from a join s using (cond)".replace("m as (select cond", "mm as (select cond").replace("join m using", "join mm using"))
@@ -632,9 +634,9 @@ def prj13(spark: SparkSession, d: str) -> DataFrame:
 
 # robustness and selection -------------------------------------------------------------------------------------------
 def universe(spark: SparkSession, d: str) -> DataFrame:
-    cells = cells_of(spark, d)
+    cells = stage(cells_of(spark, d), "cells")
     features = table(spark, d, "feature_manifest").agg(F.count_distinct("feature_key").alias("features"))
-    plain = pairing.paired(cells)
+    plain = stage(pairing.paired(cells), "pairs")
     flagged = qc.flag_samples(qc.sample_profiles(cells, features), qc.pair_concordance(plain)).where("pair_flagged").select("entity").distinct()
     return robustness.multiverse(robustness.scenario_pairs(plain, pairing.paired(pairing.centered(cells)), flagged), [5, 10, 15])
 

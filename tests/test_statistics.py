@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwork.functions.columns import benjamini_hochberg, cascade, exact_binary_p, quantile_bin
-from tarnwork.functions.kernels import digamma, student_quantile, student_two_sided, trigamma, trigamma_inverse
+from tarnwork.functions.columns import cascade, exact_binary_p, quantile_bin
+from tarnwork.functions.kernels import digamma, polygamma, student_quantile, student_two_sided, trigamma, trigamma_inverse
 from tarnwork.operators import enrichment, evaluation, inference, modelling, pairing, qc, robustness, selection
+from tarnwork.operators.ranking import average_ranks, benjamini_hochberg
 
 
 def test_kernels():
@@ -32,7 +33,7 @@ def test_false_discovery_rates(spark):
     ok = sorted(x for x in p if x is not None and x == x)
     m = len(ok)
     want = {x: min(1.0, min(y * m / (r + 1) for r, y in enumerate(ok) if y >= x)) for x in ok}
-    rows = benjamini_hochberg(df, "p", "q", ["fam"], ["i"]).collect()
+    rows = benjamini_hochberg(df, "p", "q", ["fam"]).collect()
     assert len(rows) == 2 * len(p)
     for r in rows:
         assert r.q is None if r.p is None or r.p != r.p else r.q == pytest.approx(want[r.p])
@@ -259,3 +260,25 @@ def test_scenario_sensitivity(spark):
     assert got["two", "top"].score < 0 and not got["two", "top"].same_direction and got["two", "top"].edge_jaccard == 1.0
     alone = enrichment.enrichment_scores(enrichment.ranked(ranking.where("sc = 'two'")), sets, 3, 10)
     assert {r.set_id: round(r.score, 9) for r in alone.collect()} == {s: round(r.score, 9) for (c, s), r in got.items() if c == "two"}
+
+
+def test_polygamma_against_sums_and_known_values():
+    x = np.array([0.05, 0.5, 1.0, 2.5, 7.0, 40.0, 1e5])
+    assert polygamma(0, np.array([1.0, 0.5])) == pytest.approx([-0.57721566490153286, -1.9635100260214235], rel=1e-13)
+    assert polygamma(1, np.array([1.0, 0.5])) == pytest.approx([math.pi**2 / 6, math.pi**2 / 2], rel=1e-13)
+    assert polygamma(2, np.array([1.0])) == pytest.approx([-2.4041138063191886], rel=1e-13)
+    # recurrences, and the inverse over its range
+    assert polygamma(1, x) - polygamma(1, x + 1) == pytest.approx(1 / x**2, rel=1e-4) and polygamma(0, x + 1) - polygamma(0, x) == pytest.approx(1 / x, rel=1e-4)
+    assert trigamma_inverse(polygamma(1, x)) == pytest.approx(x, rel=1e-9)
+
+
+def test_ranks_of_large_groups(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, 0.0, -1.5, 3.0, rnd.gauss(0, 1)]), i) for i in range(600)] + [("hot", 1.0, -1)] * 300
+    df = spark.createDataFrame(rows, "g string, x double, _c int")
+    got = average_ranks(df, "x", "r", ["g"]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        of = [x for g, x, _ in rows if g == r.g and x is not None]
+        assert (r.r, r.r_of) == ((None, None) if r.x is None else (sum(x < r.x for x in of) + (sum(x == r.x for x in of) + 1) / 2, len(of)))
+    assert average_ranks(df.limit(0), "x", "r", ["g"]).count() == 0
