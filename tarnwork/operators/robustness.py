@@ -55,8 +55,8 @@ def leave_one_out(pairs: DataFrame) -> DataFrame:
 
 def scenario_similarity(universe: DataFrame) -> DataFrame:
     """(scenario_a, scenario_b, features, statistic_rho, effect_rho): Spearman's rho of all pairs of scenarios over the features
-    eligible in both, ranked again within each pair. The number of scenarios is a setting; features are joined by key."""
-    u = stage(universe.where("statistic is not null").select("scenario_id", "feature_key", "statistic", "mean"), "similarity-rows")
+    eligible in both, ranked again within each pair (equal to nine digits is a tie). The number of scenarios is a setting; features are joined by key."""
+    u = stage(universe.where("statistic is not null").select("scenario_id", "feature_key", F.round("statistic", 9).alias("statistic"), F.round("mean", 9).alias("mean")), "similarity-rows")
     a = u.select("feature_key", F.col("scenario_id").alias("scenario_a"), F.col("statistic").alias("sa"), F.col("mean").alias("ma"))
     b = u.select("feature_key", F.col("scenario_id").alias("scenario_b"), F.col("statistic").alias("sb"), F.col("mean").alias("mb"))
     met = a.join(b, "feature_key").where("scenario_a < scenario_b")

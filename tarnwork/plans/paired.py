@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 from tarnwork.functions.columns import cascade, clip, exact_binary_p, is_true, quantile_bin, usable
 from tarnwork.operators import cohorts, enrichment, evaluation, inference, modelling, pairing, qc, robustness, selection
 from tarnwork.operators.ranking import average_ranks, benjamini_hochberg
+from tarnwork.plans import oracles
 from tarnwork.plans.problems import BATCH
 from tarnwork.session import stage
 from tarnwork.sources.tables import table
@@ -367,10 +369,19 @@ def top4(spark: SparkSession, d: str) -> DataFrame:
 
 
 # kernels and inference ------------------------------------------------------------------------------------------
-@query("st5_abundance_inference")
+_MOMENTS = "count(delta) as pairs, avg(delta) as mean, median(delta) as median, var_samp(delta) as variance, count(*) filter (delta > 0) as positive, count(*) filter (delta < 0) as negative"
+_ABUNDANCE = f"""{PAIRS}, mo as (select 1 as scn, *, greatest(positive, negative) / nullif(positive + negative, 0) as consistency, pairs >= {LEAST_PAIRS} as eligible from (select feature_key, {_MOMENTS} from pairs group by all)),
+{oracles.tests("mo")}, {oracles.false_discovery("tested", "abundance")}"""
+
+
+@query("st5_abundance_inference", f"""with recursive {_ABUNDANCE}, {oracles.HALF} select feature_key, pairs, positive, negative, eligible, round(consistency, 6) as consistency, round(mean, 6) as mean, round(median, 6) as median, round(variance, 6) as variance,
+round(d0, 4) as d0, round(s0, 6) as s0, round(posterior, 6) as posterior, round(se, 6) as se, round(moderated_t, 5) as moderated_t, round(moderated_df, 4) as moderated_df, round(ordinary_se, 6) as ordinary_se, round(ordinary_t, 5) as ordinary_t, round(p, 6) as p, round(ordinary_p, 6) as ordinary_p,
+round(case when p is not null then mean - h * se end, 5) as ci_low, round(case when p is not null then mean + h * se end, 5) as ci_high, round(q, 6) as q from abundance left join half using (moderated_df)""")
 def st5(spark: SparkSession, d: str) -> DataFrame:
-    """Moderated paired inference of every feature (no SQL: trigamma)."""
-    return inference.abundance_inference(pairs_of(spark, d), LEAST_PAIRS)
+    """Moderated paired inference of every feature."""
+    digits = {"d0": 4, "moderated_df": 4, "moderated_t": 5, "ordinary_t": 5, "ci_low": 5, "ci_high": 5}
+    a = inference.abundance_inference(pairs_of(spark, d), LEAST_PAIRS)
+    return a.select(*[F.round(c, digits.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in a.dtypes])
 
 
 _T = f"{PAIRS}, mo as (select feature_key, count(delta) as pairs, avg(delta) as mean, var_samp(delta) as variance from pairs group by all having count(delta) >= 10 and var_samp(delta) > 0), tt as (select *, mean / sqrt(variance / pairs) as t from mo)"
@@ -383,8 +394,22 @@ def st2(spark: SparkSession, d: str) -> DataFrame:
     return rounded(a.where("eligible and ordinary_t is not null").select("feature_key", "pairs", F.col("ordinary_t").alias("t"), F.col("ordinary_p").alias("p")))
 
 
-@query("st8_evidence_tiers")
+_TIERS = f"""{_ABUNDANCE}, {_BINARY.removeprefix(PAIRS).lstrip(", ")}, {oracles.false_discovery("(select 1 as scn, t.*, fraction_difference from tested_states t join states using (feature_key))", "detection")},
+tiers as (select feature_key, a.mean, a.q as abundance_q, a.consistency, e.fraction_difference, e.q as detection_q, coalesce(a.q <= {Q} and abs(a.mean) >= {EFFECT}, false) as strong, coalesce(e.q <= {Q}, false) as seen, coalesce(sign(a.mean) = sign(e.fraction_difference), false) as same from abundance a full outer join detection e using (feature_key)),
+tiered as (select feature_key, mean, abundance_q, consistency, fraction_difference, detection_q, case when strong and seen and same then 'A' when strong then 'B' when seen then 'C' else 'none' end as tier from tiers)""".replace("tested as (select feature_key, n_only", "tested_states as (select feature_key, n_only")
+
+
+@query("st8_evidence_tiers", f"with recursive {_TIERS} select feature_key, round(mean, 6) as mean, round(abundance_q, 6) as abundance_q, round(consistency, 6) as consistency, round(fraction_difference, 6) as fraction_difference, round(detection_q + 1e-12, 6) as detection_q, tier from tiered")
 def st8(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(nudged(tiers_of(spark, d)))
+
+
+def nudged(df: DataFrame) -> DataFrame:
+    """Exact tests give fractions that lie halfway between two rounded numbers: a little is added before rounding."""
+    return df.withColumn("detection_q", F.col("detection_q") + F.lit(1e-12))
+
+
+def tiers_of(spark: SparkSession, d: str) -> DataFrame:
     return inference.integrate_evidence(inference.abundance_inference(pairs_of(spark, d), LEAST_PAIRS), inference.detection_inference(states_of(spark, d)), Q, EFFECT)
 
 
@@ -405,7 +430,10 @@ def st14(spark: SparkSession, d: str) -> DataFrame:
     return rounded(qc.sample_profiles(cells_of(spark, d), features))
 
 
-@query("st15_sample_flags")
+_FLAGS = oracles.flags(_PROFILE, _RHO.removeprefix(CELLS).lstrip(", "))
+
+
+@query("st15_sample_flags", f"with {_FLAGS} select sample_id, entity, cond, flags, flagged, pair_flagged from flagged")
 def st15(spark: SparkSession, d: str) -> DataFrame:
     features = table(spark, d, "feature_manifest").agg(F.count_distinct("feature_key").alias("features"))
     cells = cells_of(spark, d)
@@ -625,7 +653,7 @@ def top5(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("rank_by_size", rank).where("rank_by_size <= 30")
 
 
-@query("prj13_cohort")
+@query("prj13_cohort", f"with {_FLAGS} select entity, count(delta) as pairs, round(median(delta), 6) as median_change from pairs where entity not in (select entity from flagged where pair_flagged and entity is not null) group by all")
 def prj13(spark: SparkSession, d: str) -> DataFrame:
     """Paired deltas of the cohort without flagged pairs, whole pairs at a time."""
     flagged = st15(spark, d).where("pair_flagged").select("entity")
@@ -641,38 +669,66 @@ def universe(spark: SparkSession, d: str) -> DataFrame:
     return robustness.multiverse(robustness.scenario_pairs(plain, pairing.paired(pairing.centered(cells)), flagged), [5, 10, 15])
 
 
-@query("rb1_multiverse")
+_U = f"""{_FLAGS}, med as (select sample_id, median(y) as med from cells group by all), flat as (select feature_key, entity, cond, y - med as y from cells join med using (sample_id)),
+long as (select 'uncentered' as representation, feature_key, entity, delta from pairs union all select 'centered', feature_key, entity, max(case when cond = 'T' then y end) - max(case when cond = 'N' then y end) from flat group by feature_key, entity),
+both_ as (select 'all_pairs' as cohort, * from long union all select 'unflagged_pairs', * from long where entity is null or entity not in (select entity from flagged where pair_flagged and entity is not null)),
+mv as (select representation, cohort, feature_key, count(delta) as pairs, avg(delta) as mean, var_samp(delta) as variance from both_ group by all),
+grid as (select representation || '|' || cohort || '|' || k as scn, feature_key, pairs, mean, variance, true as eligible from mv, (values (5), (10), (15)) t(k) where pairs >= k),
+{oracles.tests("grid")},
+est as (select scn || '|moderated' as scn, feature_key, mean, moderated_t as statistic, p from tested union all select scn || '|ordinary', feature_key, mean, ordinary_t, ordinary_p from tested),
+{oracles.false_discovery("est", "fd")},
+u as (select scn as scenario_id, feature_key, mean, statistic, p, q, coalesce(q <= {Q} and abs(mean) >= {EFFECT}, false) as core, case when statistic is not null then (rank() over (partition by scn, statistic is null order by abs(statistic)) + (count(*) over (partition by scn, abs(statistic)) - 1) / 2) / count(statistic) over (partition by scn) end as rank_percent from fd)"""
+
+
+@query("rb1_multiverse", f"with recursive {_U} select scenario_id, count(*) as eligible, count(*) filter (q <= {Q}) as discoveries, count(*) filter (core) as core from u group by all")
 def rb1(spark: SparkSession, d: str) -> DataFrame:
     return universe(spark, d).groupBy("scenario_id").agg(F.count(F.lit(1)).alias("eligible"), F.count_if(F.col("q") <= Q).alias("discoveries"), F.count_if("core").alias("core"))
 
 
-@query("rb2_feature_stability")
+_STABILITY = f"{_U}, stability as (select feature_key, count(*) as runs, greatest(avg(cast(mean > 0 as integer)), avg(cast(mean < 0 as integer))) as sign_agreement, avg(cast(coalesce(q <= {Q}, false) as integer)) as discovered, avg(cast(core as integer)) as core, min(mean) as least, median(mean) as median, max(mean) as greatest, stddev_samp(rank_percent) as rank_sd from u group by all)"
+
+
+@query("rb2_feature_stability", f"with recursive {_STABILITY} select feature_key, runs, round(sign_agreement, 6) as sign_agreement, round(discovered, 6) as discovered, round(core, 6) as core, round(least, 6) as least, round(median, 6) as median, round(greatest, 6) as greatest, round(rank_sd, 6) as rank_sd from stability")
 def rb2(spark: SparkSession, d: str) -> DataFrame:
     """Per feature over the scenarios: runs, sign agreement, discovery and core frequency (failed comparisons count), range of effect, spread of rank."""
+    return rounded(stability_of(spark, d))
+
+
+def stability_of(spark: SparkSession, d: str) -> DataFrame:
     u = universe(spark, d)
     return u.groupBy("feature_key").agg(F.count(F.lit(1)).alias("runs"), F.greatest(F.avg((F.col("mean") > 0).cast("int")), F.avg((F.col("mean") < 0).cast("int"))).alias("sign_agreement"), F.avg(is_true(F.col("q") <= Q).cast("int")).alias("discovered"), F.avg(F.col("core").cast("int")).alias("core"), F.min("mean").alias("least"), F.median("mean").alias("median"), F.max("mean").alias("greatest"), F.stddev_samp("rank_percent").alias("rank_sd"))
 
 
-@query("rb3_scenario_similarity")
+@query("rb3_scenario_similarity", f"""with recursive {_U}, two_ as (select a.scenario_id as scenario_a, b.scenario_id as scenario_b, round(a.statistic, 9) as sa, round(b.statistic, 9) as sb, round(a.mean, 9) as ma, round(b.mean, 9) as mb from u a join u b using (feature_key) where a.scenario_id < b.scenario_id and a.statistic is not null and b.statistic is not null),
+rk as (select scenario_a, scenario_b, {", ".join(f"rank() over (partition by scenario_a, scenario_b order by {c}) + (count(*) over (partition by scenario_a, scenario_b, {c}) - 1) / 2 as r_{c}" for c in ("sa", "sb", "ma", "mb"))} from two_)
+select scenario_a, scenario_b, count(*) as features, round(corr(r_sa, r_sb), 6) as statistic_rho, round(corr(r_ma, r_mb), 6) as effect_rho from rk group by all""")
 def rb3(spark: SparkSession, d: str) -> DataFrame:
-    return robustness.scenario_similarity(universe(spark, d))
+    return rounded(robustness.scenario_similarity(universe(spark, d)))
+
+
+_LOO = "s as (select feature_key, count(*) as c, sum(delta) as s from pairs where delta is not null group by all having c >= 3), o as (select p.feature_key, entity, s / c as mean, (s - delta) / (c - 1) as w from pairs p join s using (feature_key) where delta is not null), loo as (select feature_key, max(abs(w - mean)) as worst_change, bool_or(sign(w) <> sign(mean)) as flips from o group by all)"
+_TIERS_OVER_U = _STABILITY + ", " + re.sub(r"\b(logs|edge|between_|bis|df0|prior|post|stat|tested)\b", r"a_\1", _TIERS.removeprefix(PAIRS).lstrip(", "))
 
 
-@query("rb5_integrated_evidence")
+@query("rb5_integrated_evidence", f"""with recursive {_TIERS_OVER_U}, {_LOO}, met as (select t.*, runs, sign_agreement, core, flips, worst_change, coalesce(core >= 0.8 and sign_agreement >= 0.8 and not flips, false) as robust from tiered t left join stability using (feature_key) left join loo using (feature_key))
+select feature_key, round(mean, 6) as mean, round(abundance_q, 6) as abundance_q, round(consistency, 6) as consistency, round(fraction_difference, 6) as fraction_difference, round(detection_q + 1e-12, 6) as detection_q, tier, runs, round(sign_agreement, 6) as sign_agreement, round(core, 6) as core, flips, round(worst_change, 6) as worst_change,
+case when robust and tier in ('A', 'B') then 'high' when tier <> 'none' then 'single' when robust then 'stable only' else 'none' end as priority from met""")
 def rb5(spark: SparkSession, d: str) -> DataFrame:
     """Tiers beside stability over scenarios and over left-out entities; missing evidence stays missing."""
-    tiers, stable = st8(spark, d), rb2(spark, d).select("feature_key", "runs", "sign_agreement", "core")
+    tiers, stable = tiers_of(spark, d), stability_of(spark, d).select("feature_key", "runs", "sign_agreement", "core")
     loo = robustness.leave_one_out(pairs_of(spark, d)).select("feature_key", "flips", "worst_change")
     met = tiers.join(stable, "feature_key", "left").join(loo, "feature_key", "left")
     robust = is_true((F.col("core") >= 0.8) & (F.col("sign_agreement") >= 0.8) & ~F.col("flips"))
-    return met.withColumn("priority", cascade([(robust & F.col("tier").isin("A", "B"), "high"), (F.col("tier") != "none", "single"), (robust, "stable only")], "none"))
+    return rounded(nudged(met).withColumn("priority", cascade([(robust & F.col("tier").isin("A", "B"), "high"), (F.col("tier") != "none", "single"), (robust, "stable only")], "none")))
 
 
-@query("vr2_pareto_fronts")
+@query("vr2_pareto_fronts", f"""with recursive {PAIRS}, m_o as (select source_sheet, feature_key, count(delta) as pairs, round(abs(avg(delta)), 9) as effect, round(greatest(count(*) filter (delta > 0), count(*) filter (delta < 0)) / nullif(count(*) filter (delta <> 0), 0), 9) as direction from pairs join feature_manifest using (feature_key) group by all),
+x as (select *, coalesce(effect, -1) as e, coalesce(direction, -1) as c from m_o), beats as (select a.feature_key as winner, b.feature_key as loser from x a join x b on a.source_sheet = b.source_sheet and a.pairs >= b.pairs and a.e >= b.e and a.c >= b.c and (a.pairs > b.pairs or a.e > b.e or a.c > b.c)),
+chain(feature_key, depth) as (select feature_key, 1 from x union select loser, depth + 1 from chain join beats on winner = feature_key) select source_sheet, feature_key, pairs, effect, direction, cast(max(depth) as integer) as front from x join chain using (feature_key) group by all""")
 def vr2(spark: SparkSession, d: str) -> DataFrame:
-    """Fronts of features by pairs, |mean| (tenths) and consistency (tenths), within a sheet."""
+    """Fronts of features by pairs, |mean| and consistency, within a sheet. Numbers count as equal to nine digits."""
     m = pairing.moments(pairs_of(spark, d)).join(table(spark, d, "feature_manifest").select("feature_key", "source_sheet"), "feature_key")
-    m = m.select("source_sheet", "feature_key", "pairs", F.round(F.abs("mean"), 1).alias("effect"), F.round("consistency", 1).alias("direction"))
+    m = m.select("source_sheet", "feature_key", "pairs", F.round(F.abs("mean"), 9).alias("effect"), F.round("consistency", 9).alias("direction"))
     return selection.pareto_fronts(m, "feature_key", ["pairs", "effect", "direction"], ["source_sheet"])
 
 
