@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.operators.fill import apply_fills, fill_cells, fill_open_class
 from tarnwork.operators.packed import split_packed
+from tarnwork.session import stage
 from tarnwork.sources.tables import table
 
 BATCH = r"(?i)^\s*(?:b(?:atch)?)?[\s_-]*0*([1-9][0-9]{0,8})\s*$"
@@ -38,7 +40,10 @@ def measurement_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measurement_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = measurement_view(spark, sf_dir)
+    return fills_of(stage(measurement_view(spark, sf_dir), "measurement-view"))  # measurement is scanned once
+
+
+def fills_of(view: DataFrame) -> DataFrame:
     cells = fill_cells(view, "row_id", ["feature_key", "tissue"], "week", "x_raw", "need_x", "detected", "need_flag", ["true", "false"])
     named = view.withColumn("need_batch", F.col("run_batch").isNull())
     return cells.unionByName(fill_open_class(named, "row_id", ["sample_id", "injection"], "week", "run_batch", "need_batch"))
@@ -65,8 +70,38 @@ def p5_transformer_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_fills(table(spark, sf_dir, "fold_transformer"), "state_id", transformer_fills(spark, sf_dir), {"medians": F.col("number")})
 
 
+def p5_heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fills are worth: a twentieth of the known cells of measurement, picked by hash, is hidden and filled.
+
+    error is the root mean square error of log2 x_raw, or the share of wrong labels; baseline that of the group's mean, or of the
+    group's commonest label (ties to the smaller one).
+    """
+    view = stage(measurement_view(spark, sf_dir), "measurement-view")
+    fields = {"x_raw": "need_x", "detected": "need_flag", "run_batch": "need_batch"}
+    hide = {f: F.col(f).isNotNull() & (F.pmod(F.xxhash64("row_id", F.lit(f)), F.lit(20)) == 0) for f in fields}
+    masked = view.drop("need_x", "need_flag").withColumns({n: hide[f] for f, n in fields.items()}).withColumns({f: F.when(~hide[f], F.col(f)) for f in fields})
+    masked = stage(masked, "measurement-masked")
+    filled = fills_of(masked)
+    parts = []
+    for f, group in (("x_raw", ["feature_key", "tissue"]), ("detected", ["feature_key", "tissue"]), ("run_batch", ["sample_id", "injection"])):
+        known = masked.where(F.col(f).isNotNull())
+        if f == "x_raw":
+            base = known.groupBy(*group).agg(F.avg(f).alias("base"))
+            miss = lambda c: F.pow(F.col(c) - F.col("truth"), F.lit(2.0))
+        else:
+            each = known.groupBy(*group, F.col(f).cast("string").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+            base = each.groupBy(*group).agg(F.min(F.struct((-F.col("n")).alias("n"), "text")).alias("m")).select(*group, F.col("m.text").alias("base"))
+            miss = lambda c: (F.col(c) != F.col("truth")).cast("double")
+        truth = view.where(hide[f]).select(F.col("row_id").alias("row_key"), *group, (F.col(f) if f == "x_raw" else F.col(f).cast("string")).alias("truth"))
+        got = filled.where(F.col("field") == f).select("row_key", F.col("number" if f == "x_raw" else "text").alias("fill"))
+        met = truth.join(got, "row_key").join(base, group).agg(F.count(F.lit(1)).alias("cells"), F.avg(miss("fill")).alias("error"), F.avg(miss("base")).alias("baseline"))
+        root = (lambda c: F.sqrt(c)) if f == "x_raw" else F.col
+        parts.append(met.select(F.lit(f).alias("field"), "cells", root("error").alias("error"), root("baseline").alias("baseline")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p5_measurement_filled": p5_measurement_filled, "p5_transformer_filled": p5_transformer_filled}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p5_measurement_filled": p5_measurement_filled, "p5_transformer_filled": p5_transformer_filled, "p5_heldout": p5_heldout}
 
 
 def oracle_sql() -> dict[str, str]:

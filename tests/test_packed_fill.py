@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -77,3 +78,17 @@ def test_class_fill(spark):
     free = {r.row_key: r.text for r in fill_open_class(df, "id", ["g"], "t", "c", "need", heavy_rows=3).collect()}
     assert free == {100: "true", 101: "false"}
     assert fill_open_class(df.limit(0), "id", ["g"], "t", "c", "need").count() == 0
+
+
+def test_multinomial_follows_group_and_time(spark):
+    # group and time both move the odds; the model must find classes that neither the group's nor the overall majority has
+    rnd = random.Random(2)
+    effect = {(g, t): 1 / (1 + math.exp(-(g - 4) - 3 * (t - 1))) for g in range(9) for t in range(3)}
+    rows = [(i, g, t, "b" if rnd.random() < effect[g, t] else "a", False) for i, (g, t) in enumerate([(g, t) for g in range(9) for t in range(3)] * 60)]
+    rows += [(10_000 + 10 * g + t, g, t, None, True) for g in range(9) for t in range(3)]
+    df = spark.createDataFrame(rows, "id bigint, g int, t int, c string, need boolean")
+    for heavy in (2_000_000, 40):
+        got = {r.row_key: r.text for r in fill_cells(df, "id", ["g"], "t", label="c", need_label="need", classes=["a", "b"], heavy_rows=heavy).collect()}
+        assert len(got) == 27 and all((got[10_000 + 10 * g + t] == "b") == (p > 0.5) for (g, t), p in effect.items() if abs(p - 0.5) > 0.15)
+    three = df.select("id", "g", "t", F.when(F.col("c") == "a", "a").when(F.col("id") % 2 == 0, "b").otherwise("z").alias("c"), "need")
+    assert fill_cells(three, "id", ["g"], "t", label="c", need_label="need", classes=["a", "b", "z"]).count() == 27
