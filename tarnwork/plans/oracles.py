@@ -67,3 +67,12 @@ def flags(profile: str, rho: str) -> str:
     counted as (select p.sample_id, p.entity, p.cond, cast(coalesce(abs(a.z) > 3.5, false) as integer) + cast(coalesce(abs(b.z) > 3.5, false) as integer) + cast(coalesce(abs(c.z) > 3.5, false) as integer) + cast(coalesce(abs(e.z) > 3.5, false) as integer) + cast(coalesce(low.z < -3.5, false) as integer) as flags
         from prof p join {z("observed_fraction")} a using (sample_id) join {z("level")} b using (sample_id) join {z("iqr")} c using (sample_id) join {z("outside")} e using (sample_id) left join low on low.entity = p.entity),
     flagged as (select *, flags >= 2 as flagged, bool_or(flags >= 2) over (partition by entity) as pair_flagged from counted)"""
+
+
+# codes: every known one in the text, the longest first; locators: quoted pieces, else all up to a separator outside round brackets
+PACKED = r"""with codes as (select '(' || string_agg(regexp_replace(limitation_id, '([.+*?()\[\]{}|^$\\])', '\\\1', 'g'), '|' order by length(limitation_id) desc, limitation_id) || ')' as rx from limitation_register where limitation_id is not null),
+    l as (select ledger_id, regexp_extract_all(limitation_ids, rx) as v from claim_ledger, codes),
+    bare as (select ledger_id, case when regexp_matches(trim(evidence_locator), '^\[.*\]$', 's') or regexp_matches(trim(evidence_locator), '^\{.*\}$', 's') then substring(trim(evidence_locator), 2, length(trim(evidence_locator)) - 2) else evidence_locator end as t from claim_ledger),
+    e as (select ledger_id, list_filter(list_transform(regexp_extract_all(t, '[ ]*("(?:[^"]|"")*"|''(?:[^'']|'''')*''|“[^”]*”|‘[^’]*’|(?:\([^)]*\)|[^,;|\t\n\r(])+)'),
+        lambda x: case when regexp_matches(trim(x), '^".*"$', 's') then trim(replace(substring(trim(x), 2, length(trim(x)) - 2), '""', '"')) when regexp_matches(trim(x), '^(''.*''|“.*”|‘.*’)$', 's') then trim(replace(substring(trim(x), 2, length(trim(x)) - 2), '''''', '''')) else trim(x) end), lambda x: x <> '') as v from bare)
+    select ledger_id, 'limitation_ids' as field_name, cast(generate_subscripts(v, 1) as integer) as item_position, unnest(v) as item_value from l union all select ledger_id, 'evidence_locator', cast(generate_subscripts(v, 1) as integer), unnest(v) from e"""

@@ -459,12 +459,15 @@ def pw1(spark: SparkSession, d: str) -> DataFrame:
     return rounded(enrichment.ranked(ranking_of(spark, d)))
 
 
-@query("pw2_enrichment_score", f"""with {_RANKING}, pl as (select *, row_number() over (order by v desc, symbol) as place, count(*) over () as n from ranking),
+_HITS = f"""{_RANKING}, pl as (select *, row_number() over (order by v desc, symbol) as place, count(*) over () as n from ranking),
 members_ as (select distinct source_sheet as set_id, trim(feature_id_original) as symbol from feature_manifest where feature_id_original is not null),
-h as (select set_id, place, n, v, count(*) over (partition by set_id) as size, sum(abs(v)) over (partition by set_id) as total, row_number() over (partition by set_id order by place) as hit from members_ join pl using (symbol)),
+h as (select set_id, symbol, place, n, v, count(*) over (partition by set_id) as size, sum(abs(v)) over (partition by set_id) as total, row_number() over (partition by set_id order by place) as hit from members_ join pl using (symbol)),
 w as (select *, case when total > 0 then abs(v) / total else 1 / size end as w from h where size between 3 and 500 and size < n),
 a as (select *, sum(w) over (partition by set_id order by place) - (place - hit) / (n - size) as after from w),
-s as (select set_id, size, max(after) as up, min(after - w) as down from a group by all) select set_id, size, round(case when abs(up) >= abs(down) then up else down end, 6) as score from s""")
+s as (select set_id, size, max(after) as up, min(after - w) as down from a group by all)"""
+
+
+@query("pw2_enrichment_score", f"with {_HITS} select set_id, size, round(case when abs(up) >= abs(down) then up else down end, 6) as score from s")
 def pw2(spark: SparkSession, d: str) -> DataFrame:
     return rounded(enrichment.enrichment_scores(enrichment.ranked(ranking_of(spark, d)), sets_of(spark, d), 3, 500).drop("leading"))
 
@@ -500,10 +503,10 @@ def pw6(spark: SparkSession, d: str) -> DataFrame:
     return enrichment.integrate_views(pw3(spark, d), pw5(spark, d))
 
 
-@query("pw7_leading_edges")
+@query("pw7_leading_edges", f"with {_HITS}, top as (select set_id, min(hit) filter (after = up) as first_up, min(hit) filter (after - w = down) as first_down from a join s using (set_id, size) group by all) select set_id, symbol, round(v, 6) as statistic from a join s using (set_id, size) join top using (set_id) where case when abs(up) >= abs(down) then hit <= first_up else hit >= first_down end")
 def pw7(spark: SparkSession, d: str) -> DataFrame:
     places, sets = enrichment.ranked(ranking_of(spark, d)), sets_of(spark, d)
-    return enrichment.leading_edges(places, sets, enrichment.enrichment_scores(places, sets, 3, 500))
+    return rounded(enrichment.leading_edges(places, sets, enrichment.enrichment_scores(places, sets, 3, 500)))
 
 
 # evaluation -----------------------------------------------------------------------------------------------------
@@ -540,22 +543,29 @@ def ml4(spark: SparkSession, d: str) -> DataFrame:
     return torn.groupBy("repeat").agg(F.count(F.lit(1)).alias("torn"))
 
 
-@query("ml5_fold_transformer", f"""with {CELLS}, {_FOLDS}, held as (select f.repeat, f.entity, k.outer_fold from fl f, (select distinct outer_fold from fl) k where f.outer_fold <> k.outer_fold),
-sz as (select repeat, outer_fold, count(*) filter (cond = 'N') as an, count(*) filter (cond = 'T') as att from held join (select distinct entity, cond from cells) using (entity) group by all),
-s as (select repeat, outer_fold, feature_key, count(*) filter (cond = 'N') as n, count(*) filter (cond = 'T') as t, median(y) as med, sum(y) as sy, sum(y * y) as ss, coalesce(sum(y) filter (cond = 'N'), 0) as sn, coalesce(sum(y) filter (cond = 'T'), 0) as st from cells join held using (entity) group by all),
-g as (select *, an + att as a, (sn + (an - n) * med) / an as mn, (st + (att - t) * med) / att as mt, (sy + (an + att - n - t) * med) / (an + att) as mean from s join sz using (repeat, outer_fold) where (n + t) / (an + att) >= 0.5 and n / an >= 0.35 and t / att >= 0.35),
-z as (select *, sqrt(greatest((ss + (a - n - t) * med * med) / a - mean * mean, 0)) as scale from g), r as (select *, abs(mt - mn) / scale as score from z where scale > 1e-9)
-select repeat, outer_fold, cast(feature_rank as integer) as feature_rank, feature_key, round(med, 6) as median, round(mean, 6) as mean, round(scale, 6) as scale, round(score, 6) as score from (select *, row_number() over (partition by repeat, outer_fold order by round(score, 9) desc, feature_key) as feature_rank from r) where feature_rank <= 50""")
+_STATES_OF_FOLDS = f"""{CELLS}, cc as (select source_sheet as cohort, feature_key, sample_id, entity, cond, y from cells join (select distinct feature_key, source_sheet from feature_manifest) using (feature_key) where cond in ('N', 'T') and entity is not null),
+fc as (select cohort, repeat, entity, cast((row_number() over (partition by cohort, repeat order by md5(entity || ':' || (repeat * 1009 + {SEED})), entity) - 1) % {FOLDS} as integer) as outer_fold from (select distinct cohort, entity from cc), (select cast(range as integer) as repeat from range({REPEATS}))),
+held as (select f.cohort, f.repeat, f.entity, k.outer_fold from fc f join (select distinct cohort, repeat, outer_fold from fc) k using (cohort, repeat) where f.outer_fold <> k.outer_fold),
+sz as (select cohort, repeat, outer_fold, count(*) filter (cond = 'N') as an, count(*) filter (cond = 'T') as att from held join (select distinct cohort, entity, cond from cc) using (cohort, entity) group by all),
+s as (select cohort, repeat, outer_fold, feature_key, count(*) filter (cond = 'N') as n, count(*) filter (cond = 'T') as t, median(y) as med, sum(y) as sy, sum(y * y) as ss, coalesce(sum(y) filter (cond = 'N'), 0) as sn, coalesce(sum(y) filter (cond = 'T'), 0) as st from cc join held using (cohort, entity) group by all),
+g as (select *, an + att as a, (sn + (an - n) * med) / an as mn, (st + (att - t) * med) / att as mt, (sy + (an + att - n - t) * med) / (an + att) as mean from s join sz using (cohort, repeat, outer_fold) where (n + t) / (an + att) >= 0.5 and n / an >= 0.35 and t / att >= 0.35),
+z as (select *, sqrt(greatest((ss + (a - n - t) * med * med) / a - mean * mean, 0)) as scale from g), r as (select *, abs(mt - mn) / scale as score from z where scale > 1e-9),
+states_ as (select * from (select *, row_number() over (partition by cohort, repeat, outer_fold order by round(score, 9) desc, feature_key) as feature_rank from r) where feature_rank <= 50)"""
+
+
+@query("ml5_fold_transformer", f"with {_STATES_OF_FOLDS} select cohort, repeat, outer_fold, cast(feature_rank as integer) as feature_rank, feature_key, round(med, 6) as median, round(mean, 6) as mean, round(scale, 6) as scale, round(score, 6) as score from states_")
 def ml5(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluation.fit_transformer(cells_of(spark, d), folds_of(spark, d), 0.5, 0.35, 50))
+    """The states of every cohort's folds: features are eligible by their share of the cohort's own samples."""
+    cells = cohort_cells(spark, d)
+    return rounded(evaluation.fit_transformer(cells, cohort_folds(cells), 0.5, 0.35, 50, by=("cohort",)))
 
 
-@query("ml6_transformed")
+@query("ml6_transformed", f"with {_STATES_OF_FOLDS} select cohort, repeat, outer_fold, entity, cond, feature_key, round((coalesce(c.y, med) - mean) / scale, 6) as z from fc join (select distinct cohort, entity, cond from cc) using (cohort, entity) join states_ using (cohort, repeat, outer_fold) left join (select cohort, entity, cond, feature_key, y from cc) c using (cohort, entity, cond, feature_key)")
 def ml6(spark: SparkSession, d: str) -> DataFrame:
     """The held-out samples of every cohort under their folds' states."""
     cells = cohort_cells(spark, d)
     folds = cohort_folds(cells)
-    return evaluation.transform(cells, folds, evaluation.fit_transformer(cells, folds, 0.5, 0.35, 50, by=("cohort",)), ("cohort",))
+    return rounded(evaluation.transform(cells, folds, evaluation.fit_transformer(cells, folds, 0.5, 0.35, 50, by=("cohort",)), ("cohort",)))
 
 
 def coverage_of(spark: SparkSession, d: str) -> DataFrame:

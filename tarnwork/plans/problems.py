@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators.fill import apply_fills, fill_cells, fill_open_class
 from tarnwork.operators.packed import split_packed
+from tarnwork.plans import oracles
 from tarnwork.session import stage
 from tarnwork.sources.tables import table
 
@@ -106,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": oracles.PACKED,
         "p5_found": r"""with m as (select row_id, feature_key, upper(right(trim(sample_id), 1)) as tissue, sample_id, injection, detected, coalesce(isfinite(x_raw) and x_raw > 0, false) as usable,
                 regexp_matches(coalesce(run_batch, ''), '(?i)^\s*(?:b(?:atch)?)?[\s_-]*0*([1-9][0-9]{0,8})\s*$') as named from measurement),
             g as (select feature_key, tissue, bool_or(usable) as any_x, bool_or(detected is not null) as any_flag from m where feature_key is not null and tissue is not null group by all),
