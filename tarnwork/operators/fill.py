@@ -11,7 +11,7 @@ from tarnwork.operators.joins import HEAVY_ROWS, join_null_safe, join_weighted
 from tarnwork.session import stage
 
 ROUNDS = 8
-SETTLED = 1e-3  # change of the fitted effects, against their noise, at which the rounds end
+SETTLED = 1e-2  # change of the fitted effects, against their noise, at which the rounds end
 
 
 def _levels(group: list[str]) -> Column:
