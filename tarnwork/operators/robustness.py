@@ -53,6 +53,34 @@ def leave_one_out(pairs: DataFrame) -> DataFrame:
     return one.groupBy("feature_key").agg(F.first("all").alias("mean"), F.first("c").alias("pairs"), F.min("without").alias("least"), F.max("without").alias("greatest"), F.min(F.struct((-F.col("change")).alias("c"), "entity")).alias("w"), F.bool_or(F.signum("without") != F.signum("all")).alias("flips")).select("feature_key", "mean", "pairs", "least", "greatest", F.col("w.entity").alias("worst_entity"), (-F.col("w.c")).alias("worst_change"), "flips")
 
 
+def leave_one_out_tests(pairs: DataFrame, least_pairs: int, q: float = 0.05, effect: float = 0.5) -> DataFrame:
+    """(cohort, feature_key, pairs, mean, q, core, runs, retained, flips, worst_q, worst_change) of every feature with least_pairs pairs:
+    the moderated test done again without each entity of the cohort in turn, prior and false-discovery rates with it.
+
+    pairs has cohort, feature_key, entity, delta. core is q and |mean| within their limits; runs counts the omissions that leave
+    least_pairs pairs, retained those in which the feature is core, flips those in which its mean changes sign; worst_change is the largest
+    change of the mean over its ordinary standard error. Moments without an entity are the sums less its own delta, so the
+    deltas are aggregated once; the grid of features and entities is that of one cohort. An empty table gives an empty result.
+    """
+    rows = pairs.where("delta is not null and cohort is not null").select("cohort", "feature_key", "entity", "delta")
+    sums = stage(rows.groupBy("cohort", "feature_key").agg(F.count(F.lit(1)).alias("c"), F.sum("delta").alias("s"), F.sum(F.col("delta") * F.col("delta")).alias("ss")), "omission-sums")
+    variance = F.when(F.col("pairs") > 1, F.greatest((F.col("ss") - F.col("s") * F.col("s") / F.col("pairs")) / (F.col("pairs") - 1), F.lit(0.0)))
+
+    def tested(sums: DataFrame, keys: list[str]) -> DataFrame:
+        stats = sums.withColumnRenamed("c", "pairs").withColumn("mean", F.try_divide("s", "pairs")).withColumn("variance", variance).withColumn("eligible", F.col("pairs") >= least_pairs)
+        met = benjamini_hochberg(paired_tests(stage(stats.where("eligible").drop("s", "ss"), "omission-stats"), keys), "p", "q", keys)
+        return met.withColumn("core", is_true((F.col("q") <= q) & (F.abs("mean") >= effect)))
+
+    whole = tested(sums, ["cohort"]).select("cohort", "feature_key", "pairs", "mean", "q", "core", "ordinary_se")
+    own = rows.withColumnRenamed("entity", "omitted")
+    grid = sums.join(own.select("cohort", "omitted").distinct(), "cohort").join(own, ["cohort", "feature_key", "omitted"], "left")
+    d, there = F.coalesce("delta", F.lit(0.0)), F.col("delta").isNotNull().cast("int")
+    less = grid.select("cohort", "omitted", "feature_key", (F.col("c") - there).alias("c"), (F.col("s") - d).alias("s"), (F.col("ss") - d * d).alias("ss"))
+    one = tested(less, ["cohort", "omitted"]).select("cohort", "feature_key", F.col("mean").alias("m1"), F.col("q").alias("q1"), F.col("core").alias("core1"))
+    change = F.try_divide(F.abs(F.col("m1") - F.col("mean")), F.col("ordinary_se"))
+    return whole.join(one, ["cohort", "feature_key"], "left").groupBy("cohort", "feature_key", "pairs", "mean", "q", "core").agg(F.count("m1").alias("runs"), F.count_if("core1").alias("retained"), F.count_if(F.signum("m1") != F.signum("mean")).alias("flips"), F.max("q1").alias("worst_q"), F.max(change).alias("worst_change"))
+
+
 def scenario_similarity(universe: DataFrame) -> DataFrame:
     """(scenario_a, scenario_b, features, statistic_rho, effect_rho): Spearman's rho of all pairs of scenarios over the features
     eligible in both, ranked again within each pair (equal to nine digits is a tie). The number of scenarios is a setting; features are joined by key."""

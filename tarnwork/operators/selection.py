@@ -108,19 +108,23 @@ def paired_t_pairs(effect: str, alpha: float, power: float, most: int = 5000) ->
         shift = d * sqrt(n)
         return float((np.exp(log_density) * (1 - normal(c * s - shift) + normal(-c * s - shift))) @ w) >= power
 
-    def need(d: float) -> float | None:
+    def need(d: float, low: int = 2, high: int = most) -> int | None:
         if not np.isfinite(d) or d == 0 or not has_power(most, d := abs(d)):
             return None
-        low, high = 2, most
         while high - low > 1:
             middle = (low + high) // 2
             low, high = (low, middle) if has_power(middle, d) else (middle, high)
         return high
 
+    near: dict[int, int | None] = {}
+
+    def exact(d: float) -> int | None:
+        """need(d), searched between the numbers for the next thousandths above and below, which many effects share."""
+        above, below = (near.setdefault(k, need(k / 1000)) if k not in near else near[k] for k in (int(abs(d) * 1000) + 1, int(abs(d) * 1000)))
+        return above if above == below and above is not None else need(d, (above or 3) - 1, below or most)
+
     def run(d: pd.Series) -> pd.Series:
-        near = d.round(3)
-        known = {x: need(x) for x in near.dropna().unique()}
-        return pd.Series([known.get(x) for x in near], dtype="Int64")
+        return pd.Series([None if pd.isna(x) else exact(x) for x in d], dtype="Int64")
 
     return F.pandas_udf(run, "bigint")(F.col(effect))
 

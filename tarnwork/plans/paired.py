@@ -12,10 +12,12 @@ from pyspark.sql.window import Window
 
 from tarnwork.functions.columns import cascade, clip, exact_binary_p, is_true, quantile_bin, usable
 from tarnwork.operators import cohorts, enrichment, evaluation, inference, modelling, pairing, qc, robustness, selection
+from tarnwork.operators.joins import join_null_safe
 from tarnwork.operators.ranking import average_ranks, benjamini_hochberg
 from tarnwork.plans import oracles
 from tarnwork.plans.problems import BATCH
 from tarnwork.session import stage
+from tarnwork.sources.files import content_manifest
 from tarnwork.sources.tables import table
 
 LEAST_PAIRS = 10
@@ -85,9 +87,10 @@ def prj1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("prj2_column_letters", "select source_column_position as position, min(source_excel_column) as letters, bool_and(source_excel_column = case when source_column_position > 26 then chr(64 + (source_column_position - 1) // 26) else '' end || chr(65 + (source_column_position - 1) % 26)) as as_expected from sample_manifest group by all")
 def prj2(spark: SparkSession, d: str) -> DataFrame:
-    """Spreadsheet letters of a column position against the delivered ones (positions up to 702)."""
-    at = F.col("source_column_position") - 1
-    letters = F.concat(F.when(at >= 26, F.chr(F.lit(64) + F.floor(at / 26))).otherwise(""), F.chr(F.lit(65) + at % 26))
+    """Spreadsheet letters of a column position against the delivered ones (up to three letters, as spreadsheets have)."""
+    at = F.col("source_column_position")
+    letter = lambda first, each: F.when(at >= first, F.chr(F.lit(65) + F.pmod(F.floor((at - first) / each), F.lit(26)))).otherwise("")
+    letters = F.concat(letter(703, 676), letter(27, 26), letter(1, 1))
     return table(spark, d, "sample_manifest").groupBy(F.col("source_column_position").alias("position")).agg(F.min("source_excel_column").alias("letters"), F.bool_and(F.col("source_excel_column") == letters).alias("as_expected"))
 
 
@@ -100,11 +103,13 @@ def prj3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("prj4_surrogate_keys", "select feature_key, source_sheet, source_excel_row, printf('F%08d', row_number() over (order by source_sheet, source_excel_row, feature_key)) as surrogate from feature_manifest")
 def prj4(spark: SparkSession, d: str) -> DataFrame:
-    """Keys by source position: rank within the sheet plus the rows of the sheets before, so that the table isn't sorted in one task."""
-    f = table(spark, d, "feature_manifest").select("feature_key", "source_sheet", "source_excel_row")
-    before = f.groupBy("source_sheet").count().withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(1)).orderBy("source_sheet").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("source_sheet").orderBy("source_excel_row", "feature_key")) + F.col("before")
-    return f.join(before.drop("count"), "source_sheet").select("feature_key", "source_sheet", "source_excel_row", F.format_string("F%08d", place).alias("surrogate"))
+    """Keys by source position: rank within a piece of a sheet (4,096 positions) plus the rows of the pieces before, so that neither
+    the table nor a sheet is sorted in one task."""
+    f = table(spark, d, "feature_manifest").select("feature_key", "source_sheet", "source_excel_row", F.floor(F.col("source_excel_row") / 4096).alias("piece"))
+    along = Window.partitionBy(F.lit(1)).orderBy("source_sheet", "piece").rowsBetween(Window.unboundedPreceding, -1)  # one row a piece
+    before = f.groupBy("source_sheet", "piece").count().withColumn("before", F.coalesce(F.sum("count").over(along), F.lit(0))).drop("count")
+    place = F.row_number().over(Window.partitionBy("source_sheet", "piece").orderBy("source_excel_row", "feature_key")) + F.col("before")
+    return join_null_safe(f, before, ["source_sheet", "piece"]).select("feature_key", "source_sheet", "source_excel_row", F.format_string("F%08d", place).alias("surrogate"))
 
 
 @query("prj5_identifier_flags", """with k as (select trim(feature_id_original) as id, count(*) as n from feature_manifest where trim(feature_id_original) <> '' group by all)
@@ -732,6 +737,21 @@ def rb5(spark: SparkSession, d: str) -> DataFrame:
     return rounded(nudged(met).withColumn("priority", cascade([(robust & F.col("tier").isin("A", "B"), "high"), (F.col("tier") != "none", "single"), (robust, "stable only")], "none")))
 
 
+_OMIT = f"""{PAIRS}, dl as (select source_sheet as cohort, feature_key, entity, delta from pairs join (select distinct feature_key, source_sheet from feature_manifest) using (feature_key) where delta is not null and entity is not null and source_sheet is not null),
+sm as (select cohort, feature_key, count(*) as c, sum(delta) as s, sum(delta * delta) as ss from dl group by all),
+gr as (select cohort, null::bigint as omitted, feature_key, c, s, ss from sm union all select cohort, omitted, feature_key, c - cast(delta is not null as integer), s - coalesce(delta, 0), ss - coalesce(delta * delta, 0) from sm join (select distinct cohort, entity as omitted from dl) using (cohort) left join (select cohort, feature_key, entity as omitted, delta from dl) using (cohort, feature_key, omitted)),
+om as (select cohort || '|' || coalesce(omitted::varchar, '') as scn, cohort, omitted, feature_key, c as pairs, s / c as mean, greatest((ss - s * s / c) / (c - 1), 0) as variance, true as eligible from gr where c >= {LEAST_PAIRS}),
+{oracles.tests("om")}, {oracles.false_discovery("tested", "omq")}, oc as (select *, coalesce(q <= {Q} and abs(mean) >= {EFFECT}, false) as core from omq)"""
+
+
+@query("rb4_leave_one_out_tests", f"""with recursive {_OMIT} select w.cohort, w.feature_key, any_value(w.pairs) as pairs, round(any_value(w.mean), 6) as mean, round(any_value(w.q), 6) as q, any_value(w.core) as core, count(o.mean) as runs, count(*) filter (o.core) as retained, count(*) filter (sign(o.mean) <> sign(w.mean)) as flips,
+round(max(o.q), 6) as worst_q, round(max(abs(o.mean - w.mean) / nullif(w.ordinary_se, 0)), 5) as worst_change from oc w left join (select * from oc where omitted is not null) o using (cohort, feature_key) where w.omitted is null group by w.cohort, w.feature_key""")
+def rb4_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Moderated tests of every cohort without each of its entities: does what is significant stay so?"""
+    got = robustness.leave_one_out_tests(cohort_pairs(spark, d), LEAST_PAIRS, Q, EFFECT)
+    return rounded(got.withColumn("worst_change", F.round("worst_change", 5)))
+
+
 @query("vr2_pareto_fronts", f"""with recursive {PAIRS}, m_o as (select source_sheet, feature_key, count(delta) as pairs, round(abs(avg(delta)), 9) as effect, round(greatest(count(*) filter (delta > 0), count(*) filter (delta < 0)) / nullif(count(*) filter (delta <> 0), 0), 9) as direction from pairs join feature_manifest using (feature_key) group by all),
 x as (select *, coalesce(effect, -1) as e, coalesce(direction, -1) as c from m_o), beats as (select a.feature_key as winner, b.feature_key as loser from x a join x b on a.source_sheet = b.source_sheet and a.pairs >= b.pairs and a.e >= b.e and a.c >= b.c and (a.pairs > b.pairs or a.e > b.e or a.c > b.c)),
 chain(feature_key, depth) as (select feature_key, 1 from x union select loser, depth + 1 from chain join beats on winner = feature_key) select source_sheet, feature_key, pairs, effect, direction, cast(max(depth) as integer) as front from x join chain using (feature_key) group by all""")
@@ -774,11 +794,17 @@ def vr5(spark: SparkSession, d: str) -> DataFrame:
     return m.select("feature_key", "effect", selection.paired_t_pairs("effect", 0.05, 0.8).alias("pairs_needed"))
 
 
-@query("snk5_content_manifest", f"with {PAIRS} select source_sheet, count(*) as rows_, sum(case when state = 3 then 1 else 0 end) as complete from pairs join feature_manifest using (feature_key) group by all".replace("select source_sheet, count(*) as rows_, sum(case when state = 3 then 1 else 0 end) as complete", "select source_sheet, count(*) as row_count, count(*) filter (state = 3) as complete"))
-def snk5(spark: SparkSession, d: str) -> DataFrame:
+@query("agg6_sheet_pairs", f"with {PAIRS} select source_sheet, count(*) as rows_, sum(case when state = 3 then 1 else 0 end) as complete from pairs join feature_manifest using (feature_key) group by all".replace("select source_sheet, count(*) as rows_, sum(case when state = 3 then 1 else 0 end) as complete", "select source_sheet, count(*) as row_count, count(*) filter (state = 3) as complete"))
+def sheet_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs_of(spark, d).join(table(spark, d, "feature_manifest").select("feature_key", "source_sheet"), "feature_key").groupBy("source_sheet").agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("state") == 3).alias("complete"))
 
 
+@query("snk5_content_manifest")
+def snk5(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes and checksum of every file of the tables, by its name in the folder."""
+    return content_manifest(spark, d, "*.parquet").select(F.regexp_extract("path", r"([^/]+(?:\.parquet/[^/]+)?)$", 1).alias("file"), "bytes", "sha256")
+
+
 # baselines, influence and controls --------------------------------------------------------------------------------------
 @query("ml12_inner_tuning")
 def ml12(spark: SparkSession, d: str) -> DataFrame:
@@ -840,12 +866,28 @@ def st13(spark: SparkSession, d: str) -> DataFrame:
     return cohorts.change_components(cohort_cells(spark, d).select("cohort", "feature_key", F.col("sample_id").alias("entity"), F.col("y").alias("delta")), 0.8).withColumnRenamed("entity", "sample_id")
 
 
-@query("pw8_scenario_sensitivity")
+_SENSITIVITY = f"""{_U}, sym as (select feature_key, trim(feature_id_original) as symbol from feature_manifest where trim(feature_id_original) <> '' and not contains(feature_id_original, ';')),
+rkg as (select * from (select scenario_id, symbol, statistic as v, row_number() over (partition by scenario_id, symbol order by abs(statistic) desc, feature_key) as rn from u join sym using (feature_key) where statistic is not null) where rn = 1),
+pl as (select scenario_id, symbol, v, row_number() over (partition by scenario_id order by v desc, symbol) as place, count(*) over (partition by scenario_id) as n from rkg),
+mem as (select distinct source_sheet as set_id, trim(feature_id_original) as symbol from feature_manifest where feature_id_original is not null),
+h as (select scenario_id, set_id, symbol, place, n, v, count(*) over (partition by scenario_id, set_id) as size, sum(abs(v)) over (partition by scenario_id, set_id) as total, row_number() over (partition by scenario_id, set_id order by place) as hit from mem join pl using (symbol)),
+w as (select *, case when total > 0 then abs(v) / total else 1 / size end as w from h where size between 3 and 500 and size < n),
+a as (select *, sum(w) over (partition by scenario_id, set_id order by place) - (place - hit) / (n - size) as after from w),
+s as (select scenario_id, set_id, size, max(after) as up, min(after - w) as down from a group by all),
+top as (select scenario_id, set_id, min(hit) filter (after = up) as first_up, min(hit) filter (after - w = down) as first_down from a join s using (scenario_id, set_id, size) group by all),
+edge_ as (select scenario_id, set_id, symbol from a join s using (scenario_id, set_id, size) join top using (scenario_id, set_id) where case when abs(up) >= abs(down) then hit <= first_up else hit >= first_down end),
+score as (select scenario_id, set_id, case when abs(up) >= abs(down) then up else down end as score from s),
+first_ as (select set_id, symbol from edge_ where scenario_id = 'uncentered|all_pairs|{LEAST_PAIRS}|moderated'), size_ as (select set_id, count(*) as other from first_ group by all),
+shared as (select e.scenario_id, e.set_id, count(*) as own, count(f.symbol) as both_ from edge_ e left join first_ f on f.set_id = e.set_id and f.symbol = e.symbol group by all)"""
+
+
+@query("pw8_scenario_sensitivity", f"""with recursive {_SENSITIVITY} select scenario_id, set_id, round(c.score, 6) as score, sign(c.score) = sign(p.score) as same_direction, round(both_ / (own + other - both_), 6) as edge_jaccard
+from score c left join shared using (scenario_id, set_id) left join (select set_id, score from score where scenario_id = 'uncentered|all_pairs|{LEAST_PAIRS}|moderated') p using (set_id) left join size_ using (set_id)""")
 def pw8(spark: SparkSession, d: str) -> DataFrame:
     """Set scores over the ranking of every scenario against those of the primary one."""
     symbols = table(spark, d, "feature_manifest").select("feature_key", "feature_id_original")
     ranking = enrichment.collapse_ranking(universe(spark, d).join(symbols, "feature_key"), "feature_id_original", "statistic", "feature_key", ("scenario_id",))
-    return enrichment.scenario_sensitivity(ranking, sets_of(spark, d), "scenario_id", f"uncentered|all_pairs|{LEAST_PAIRS}|moderated", 3, 500)
+    return rounded(enrichment.scenario_sensitivity(ranking, sets_of(spark, d), "scenario_id", f"uncentered|all_pairs|{LEAST_PAIRS}|moderated", 3, 500))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -282,3 +282,15 @@ def test_ranks_of_large_groups(spark):
         of = [x for g, x, _ in rows if g == r.g and x is not None]
         assert (r.r, r.r_of) == ((None, None) if r.x is None else (sum(x < r.x for x in of) + (sum(x == r.x for x in of) + 1) / 2, len(of)))
     assert average_ranks(df.limit(0), "x", "r", ["g"]).count() == 0
+
+
+def test_leave_one_out_tests_find_what_hangs_on_one_entity(spark):
+    rnd = random.Random(6)
+    rows = [(sheet, f"{sheet}{f:02d}", e, rnd.gauss(0, 0.5) + (2.0 if f == 0 else 0.0) + (9.0 if f == 1 and e == 7 else 0.0)) for sheet in "ab" for f in range(30) for e in range(12)]
+    rows += [("a", "few", e, 1.0) for e in range(4)] + [("a", "a00", 99, None), (None, "x", 1, 1.0)]
+    got = {r.feature_key: r for r in robustness.leave_one_out_tests(spark.createDataFrame(rows, "cohort string, feature_key string, entity int, delta double"), 10).collect()}
+    assert len(got) == 60 and "few" not in got
+    assert got["a00"].core and got["a00"].runs == got["a00"].retained == 12 and got["a00"].flips == 0 and got["a00"].worst_q < 0.01
+    assert got["a01"].retained < 12 and got["a01"].worst_change > 0.5
+    empty = spark.createDataFrame([], "cohort string, feature_key string, entity int, delta double")
+    assert robustness.leave_one_out_tests(empty, 10).count() == 0
