@@ -46,6 +46,13 @@ def samples_of(f: pd.DataFrame) -> Samples:
     return Samples(wide.index.get_level_values("entity").to_numpy(np.int64), cond, (cond == "T").astype(int), wide.columns.to_numpy(str), wide.to_numpy(float))
 
 
+def medians(y: np.ndarray) -> np.ndarray:
+    """The median of each column's values, of which it has one at least."""
+    n = (~np.isnan(y)).sum(axis=0)
+    y = np.sort(y, axis=0)  # NaN last
+    return (np.take_along_axis(y, (n - 1)[None] // 2, 0)[0] + np.take_along_axis(y, n[None] // 2, 0)[0]) / 2
+
+
 def fit_state(s: Samples, train: np.ndarray, view: str, most: int, order: str = "score", least_observed: float = 0.5, least_class: float = 0.35) -> State:
     """What evaluation.fit_transformer says of one fold, for the view abundance (names A:), detection (D:) or combined: detection takes
     features that some but not all training samples have. order is score or scale."""
@@ -56,7 +63,7 @@ def fit_state(s: Samples, train: np.ndarray, view: str, most: int, order: str =
     if view != "detection" and len(y):
         part = lambda m: seen[m].mean(axis=0) if m.any() else np.zeros(seen.shape[1])
         at = np.flatnonzero((seen.mean(axis=0) >= least_observed) & (part(t) >= least_class) & (part(~t) >= least_class))
-        median = np.nanmedian(y[:, at], axis=0) if len(at) else np.zeros(0)
+        median = medians(y[:, at]) if len(at) else np.zeros(0)
         parts.append(("A:", at, median, np.where(seen[:, at], y[:, at], median)))
     if view != "abundance" and len(y):
         share = seen.mean(axis=0)
@@ -66,7 +73,10 @@ def fit_state(s: Samples, train: np.ndarray, view: str, most: int, order: str =
     for kind, at, median, filled in parts:
         mean, scale = filled.mean(axis=0), filled.std(axis=0)
         gap = np.abs(filled[t].mean(axis=0) - filled[~t].mean(axis=0)) if t.any() and not t.all() else np.zeros(len(at))
-        rows += [(-round(g / d if order == "score" else d, 9), kind + s.features[c], c, m, a, d) for c, m, a, d, g in zip(at, median, mean, scale, gap) if d > 1e-9]
+        some = scale > 1e-9
+        at, median, mean, scale, gap = at[some], median[some], mean[some], scale[some], gap[some]
+        mark = -np.round(gap / scale if order == "score" else scale, 9)
+        rows += zip(mark.tolist(), (kind + f for f in s.features[at].tolist()), at.tolist(), median.tolist(), mean.tolist(), scale.tolist())
     rows = sorted(rows)[:most]
     col = lambda i, kind: np.array([r[i] for r in rows], kind)
     return State(col(1, str), col(2, int), col(3, float), col(4, float), col(5, float))
@@ -83,14 +93,85 @@ def sigmoid(m: np.ndarray) -> np.ndarray:
 
 
 def elastic_net(x: np.ndarray, label: np.ndarray, c: list[float], l1: list[float], steps: int = 3000, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """(features x settings, intercepts) of C sum(log loss) + l1 |w| + (1 - l1) w² / 2, the intercept free: accelerated proximal
-    steps with restarts for all settings at once; a setting stops when a step moves it by less than tol."""
+    """(features x settings, intercepts) of C sum(log loss) + l1 |w| + (1 - l1) w² / 2, the intercept free: Newton steps over the weights that are
+    or should be other than 0, from the solution of the next smaller C; what these leave open goes on by proximal steps (see proximal_steps)."""
     n, p = x.shape
+    a, y = np.column_stack([x, np.ones(n)]), label.astype(float)
     share, penalty = np.array(l1, float), 1 / (np.array(c, float) * n)
-    a, y = np.column_stack([x, np.ones(n)]), label.astype(float)[:, None]
+    none, rate = np.zeros(p + 1), np.clip(y.mean(), CUT, 1 - CUT)
+    none[p] = np.log(rate / (1 - rate))
+    steepest = np.abs(x.T @ (rate - y)).max(initial=0.0) / n  # a larger penalty leaves every weight at 0
+    out, left, last = np.repeat(none[:, None], len(share), axis=1), [], {}
+    for i in sorted(range(len(share)), key=lambda i: (share[i], -penalty[i])):
+        if penalty[i] * share[i] < steepest or not 0 < label.sum() < n:
+            out[:, i], done = newton_steps(a, y, penalty[i] * share[i], penalty[i] * (1 - share[i]), last.get(share[i], none))
+            last[share[i]] = out[:, i]
+            left += [] if done else [i]
+    if left:
+        out[:, left] = proximal_steps(a, y, penalty[left], share[left], out[:, left], steps, tol)
+    return out[:p], out[p]
+
+
+def newton_steps(a: np.ndarray, y: np.ndarray, lasso: float, ridge: float, w: np.ndarray, steps: int = 100, tol: float = 1e-10) -> tuple[np.ndarray, bool]:
+    """(weights, did they settle) of mean log loss + lasso |w| + ridge w² / 2, the last weight being the free intercept.
+
+    A step solves for the weights that are not 0 and those at 0 whose slope is more than half as far over lasso as the farthest, each kept
+    on its side of 0; one that would leave 0 to the wrong side stays there. Settled: no slope is off by more than tol.
+    """
+    n, p = len(y), a.shape[1] - 1
+    extra, bound = np.full(p + 1, ridge), np.full(p + 1, lasso)
+    extra[p] = bound[p] = 0.0
+    loss = lambda m, v, r, b: (np.logaddexp(0, m) - y * m).sum() / n + b @ np.abs(v) + 0.5 * (r @ (v * v))
+    m = a @ w
+    now = loss(m, w, extra, bound)
+    for _ in range(steps):
+        q = sigmoid(m)
+        g = (q - y) @ a / n + extra * w
+        side = np.sign(w)
+        slope, there = g + bound * side, side != 0
+        over = np.where(there, 0.0, np.abs(g) - bound)
+        worst = over[:p].max(initial=0.0)
+        if max(worst, np.abs(slope[there]).max(initial=0.0), abs(g[p])) <= tol:
+            return w, True
+        fresh = (over > max(worst / 2, tol)) & ~there
+        side[fresh] = -np.sign(g[fresh])
+        there |= fresh
+        there[p], side[p] = True, 0.0
+        at = np.flatnonzero(there)
+        some, f = a[:, at], g[at] + bound[at] * side[at]
+        h = (some * (q * (1 - q) / n)[:, None]).T @ some
+        h.flat[:: len(at) + 1] += extra[at] + 1e-13
+        while True:
+            try:
+                d = np.linalg.solve(h, -f)
+            except np.linalg.LinAlgError:
+                return w, False
+            right = (w[at] != 0) | (d * side[at] >= 0)
+            if right.all():
+                break
+            at, f, some, h = at[right], f[right], some[:, right], h[np.ix_(right, right)]
+        old, s, r, b, t = w[at], side[at], extra[at], bound[at], 1.0
+        while True:
+            v = old + t * d
+            v[v * s < 0] = 0.0
+            m = some @ v
+            after = loss(m, v, r, b)
+            if after <= now + 1e-4 * (f @ (v - old)) + 1e-15 * abs(now):
+                break
+            t /= 2
+            if not t > 1e-12:
+                return w, False
+        w, now = np.zeros(p + 1), after
+        w[at] = v
+    return w, False
+
+
+def proximal_steps(a: np.ndarray, label: np.ndarray, penalty: np.ndarray, share: np.ndarray, out: np.ndarray, steps: int, tol: float) -> np.ndarray:
+    """elastic_net from the weights `out`: accelerated proximal steps with restarts for all settings at once; a setting stops when a step moves it by less than tol."""
+    n, p, y = len(a), a.shape[1] - 1, label[:, None]
     size = 1 / (0.25 * np.linalg.norm(a, 2) ** 2 / n + penalty * (1 - share))
-    out = np.zeros((p + 1, len(share)))
-    live, w, v, momentum = np.arange(len(share)), out.copy(), out.copy(), np.ones(len(share))
+    live, out = np.arange(len(share)), out.copy()
+    w, v, momentum = out.copy(), out.copy(), np.ones(len(share))
     for i in range(steps):
         g = a.T @ (sigmoid(a @ v) - y) / n
         g[:p] += penalty * (1 - share) * v[:p]
@@ -109,7 +190,7 @@ def elastic_net(x: np.ndarray, label: np.ndarray, c: list[float], l1: list[float
             if not still.all():
                 live, w, v, momentum, size, penalty, share = live[still], w[:, still], v[:, still], momentum[still], size[still], penalty[still], share[still]
     out[:, live] = w
-    return out[:p], out[p]
+    return out
 
 
 def linear_svm(x: np.ndarray, label: np.ndarray, c: float, steps: int = 100) -> tuple[np.ndarray, float]:
@@ -130,6 +211,39 @@ def linear_svm(x: np.ndarray, label: np.ndarray, c: float, steps: int = 100) ->
     return w[:-1], float(w[-1])
 
 
+def svm_settings(x: np.ndarray, label: np.ndarray, c: list[float], k: list[int], steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """(features x settings, intercepts) of linear_svm over the first k features of each setting, all settings at once: the weights are sums of
+    samples, so a Newton step solves for one number a sample; a setting ends when a whole step leaves the samples within the margin the same."""
+    n, s = len(x), 2.0 * label - 1
+    w, b, live = np.zeros((x.shape[1], len(c))), np.zeros(len(c)), np.arange(len(c))
+    kernels = {j: x[:, :j] @ x[:, :j].T + 1 for j in set(k)}
+    kernel, cost = np.array([kernels[j] for j in k]), np.array(c, float)[:, None]
+    alpha, m, room = np.zeros((len(c), n)), np.zeros((len(c), n)), np.empty((len(c), n, n))
+    done = alpha.copy()
+    loss = lambda alpha, m, cost: 0.5 * (alpha * m).sum(axis=1) + cost[:, 0] * np.square(np.maximum(0, 1 - s * m)).sum(axis=1)
+    for _ in range(steps):
+        gap = np.maximum(0, 1 - s * m)
+        on = gap > 0
+        h = np.multiply(kernel, on[:, :, None], out=room[: len(live)])
+        h *= on[:, None, :]
+        h[:, np.arange(n), np.arange(n)] += np.where(on, 0.5 / cost, 1.0)
+        d = np.linalg.solve(h, (s * on)[:, :, None])[:, :, 0] - alpha
+        move = (kernel @ d[:, :, None])[:, :, 0]
+        now, fall = loss(alpha, m, cost), ((alpha - 2 * cost * s * gap) * move).sum(axis=1)
+        t = np.ones(len(live))
+        while (short := (loss(alpha + t[:, None] * d, m + t[:, None] * move, cost) > now + 1e-4 * t * fall + 1e-13 * np.abs(now)) & (t > 1e-10)).any():
+            t[short] /= 2
+        alpha, m = alpha + t[:, None] * d, m + t[:, None] * move
+        still = (t < 1) | ((s * m < 1) != on).any(axis=1)
+        done[live] = alpha
+        if not still.any():
+            break
+        live, alpha, m, kernel, cost = live[still], alpha[still], m[still], kernel[still], cost[still]
+    for i, j in enumerate(k):
+        w[:j, i], b[i] = done[i] @ x[:, :j], done[i].sum()
+    return w, b
+
+
 def balanced_accuracy(label: np.ndarray, hit: np.ndarray) -> float:
     """Mean of the labels' shares of hits; NaN without both labels."""
     return float((hit[label == 1].mean() + hit[label == 0].mean()) / 2) if 0 < label.sum() < len(label) else float("nan")
@@ -327,53 +441,68 @@ def best_cut(probability: np.ndarray, label: np.ndarray) -> float:
     """Of 0.5, the probabilities and the middles between them the threshold of best balanced accuracy, then nearest 0.5, then largest."""
     seen = np.unique(probability)
     tried = np.unique(np.concatenate([[0.5], seen, (seen[:-1] + seen[1:]) / 2]))
-    return max((round(balanced_accuracy(label, (probability >= t) == (label == 1)), 12), -abs(float(t) - 0.5), float(t)) for t in tried)[2]
+    below = lambda y: np.searchsorted(np.sort(probability[label == y]), tried) / max((label == y).sum(), 1)
+    return max(zip(np.round((1 - below(1) + below(0)) / 2, 12).tolist(), (-np.abs(tried - 0.5)).tolist(), tried.tolist()))[2]
 
 
 def fit_grid(model: str, x: np.ndarray, label: np.ndarray, grid: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """(features x settings, intercepts) of a grid; a setting of k features has zeros after the first k."""
     w, b = np.zeros((x.shape[1], len(grid))), np.zeros(len(grid))
+    if model == "svm":
+        wide = [i for i, g in enumerate(grid) if len(x) <= 4 * g[2]]
+        if wide:
+            w[:, wide], b[wide] = svm_settings(x, label, [grid[i][0] for i in wide], [min(grid[i][2], x.shape[1]) for i in wide])
+        for i in set(range(len(grid))) - set(wide):
+            w[: grid[i][2], i], b[i] = linear_svm(x[:, : grid[i][2]], label, grid[i][0])
+        return w, b
     for k in {g[2] for g in grid}:
         at = [i for i, g in enumerate(grid) if g[2] == k]
-        if model == "elastic_net":
-            w[:k, at], b[at] = elastic_net(x[:, :k], label, [grid[i][0] for i in at], [grid[i][1] for i in at])
-        else:
-            for i in at:
-                w[:k, i], b[i] = linear_svm(x[:, :k], label, grid[i][0])
+        w[:k, at], b[at] = elastic_net(x[:, :k], label, [grid[i][0] for i in at], [grid[i][1] for i in at])
     return w, b
 
 
-def nested(s: Samples, folds: pd.DataFrame, repeat: int, view: str, model: str, inner: int, seed: int) -> Iterator[tuple]:
-    """(fold, surface, test, probability, threshold) of every outer fold: the grid is judged over inner folds of the training entities, and the
-    chosen setting (best accuracy, then least C, panel, largest l1, least k), its threshold and, for svm, its calibration judge the test samples."""
-    grid = GRIDS[model]
+def nested(s: Samples, folds: pd.DataFrame, repeat: int, view: str, models: tuple[str, ...], inner: int, seed: int, tuning: bool) -> Iterator[tuple]:
+    """(fold, model, surface, test, probability, threshold) of every outer fold and model: the grid is judged over inner folds of the training
+    entities, and the chosen setting (best accuracy, then least C, panel, largest l1, least k), its threshold and, for svm, its calibration judge
+    the test samples; with tuning only the surface is worked out. Folds, states and rows are the same for all models."""
     for fold, train, test in outer_splits(s, folds):
         order = sorted(set(s.entity[train].tolist()), key=lambda e: (hashlib.md5(f"{e}:{repeat * 1009 + seed}:{fold}".encode()).hexdigest(), e))
         dealt = {"entity": order, "outer_fold": [i % inner for i in range(len(order))]}
-        state = fit_state(s, train, view, max(g[2] for g in grid))
-        oof, marks, panels = np.full((len(s.label), len(grid)), np.nan), [], []
+        most = max(g[2] for m in models for g in GRIDS[m])
+        state = fit_state(s, train, view, most)
+        if not len(state.names):
+            continue
+        rows = []
         for _, fit, judged in outer_splits(s, pd.DataFrame(dealt)):
-            own = fit_state(s, fit, view, max(g[2] for g in grid))
+            own = fit_state(s, fit, view, most)
             if len(own.names):
-                w, b = fit_grid(model, apply_state(s, own, fit), s.label[fit], grid)
-                oof[judged] = apply_state(s, own, judged) @ w + b
-                marks.append([balanced_accuracy(s.label[judged], (oof[judged, i] >= 0) == (s.label[judged] == 1)) for i in range(len(grid))])
+                rows.append((apply_state(s, own, fit), s.label[fit], apply_state(s, own, judged), judged))
+        x, z = (apply_state(s, state, train), apply_state(s, state, test)) if not tuning else (None, None)
+        for model in models if rows else ():
+            grid = GRIDS[model]
+            oof, marks, panels = np.full((len(s.label), len(grid)), np.nan), [], []
+            for known, label, unseen, judged in rows:
+                w, b = fit_grid(model, known, label, grid)
+                oof[judged] = unseen @ w + b
+                hit, t = (oof[judged] >= 0) == (s.label[judged] == 1)[:, None], s.label[judged] == 1
+                marks.append((hit[t].mean(axis=0) + hit[~t].mean(axis=0)) / 2 if t.any() and not t.all() else np.full(len(grid), np.nan))
                 panels.append((np.abs(w) > 1e-12).sum(axis=0))
-        if not len(state.names) or not marks:
-            continue
-        marks = np.array(marks)
-        known = (~np.isnan(marks)).sum(axis=0)
-        accuracy, panel = np.where(known > 0, np.nansum(marks, axis=0) / np.maximum(known, 1), -1.0), np.mean(panels, axis=0)
-        best = min(range(len(grid)), key=lambda i: (-round(accuracy[i], 12), grid[i][0], panel[i], -(grid[i][1] or 0), grid[i][2]))
-        surface = [(*g, float(accuracy[i]) if known[i] else None, float(panel[i]), i == best) for i, g in enumerate(grid)]
-        w, b = fit_grid(model, apply_state(s, state, train), s.label[train], [grid[best]])
-        out, score = oof[train, best], apply_state(s, state, test) @ w[:, 0] + b[0]
-        there = ~np.isnan(out)
-        if model == "svm":
-            pw, pb = elastic_net(out[there, None], s.label[train][there], [1.0], [0.0], 20_000, 1e-8)
-            out, score = out * pw[0, 0] + pb[0], score * pw[0, 0] + pb[0]
-        cut = lambda m: np.clip(sigmoid(m), CUT, 1 - CUT)
-        yield fold, surface, test, cut(score), best_cut(cut(out[there]), s.label[train][there])
+            marks = np.array(marks)
+            times = (~np.isnan(marks)).sum(axis=0)
+            accuracy, panel = np.where(times > 0, np.nansum(marks, axis=0) / np.maximum(times, 1), -1.0), np.mean(panels, axis=0)
+            best = min(range(len(grid)), key=lambda i: (-round(accuracy[i], 12), grid[i][0], panel[i], -(grid[i][1] or 0), grid[i][2]))
+            surface = [(*g, float(accuracy[i]) if times[i] else None, float(panel[i]), i == best) for i, g in enumerate(grid)]
+            if tuning:
+                yield fold, model, surface, test, None, None
+                continue
+            w, b = fit_grid(model, x, s.label[train], [grid[best]])
+            out, score = oof[train, best], z @ w[:, 0] + b[0]
+            there = ~np.isnan(out)
+            if model == "svm":
+                pw, pb = elastic_net(out[there, None], s.label[train][there], [1.0], [0.0], 20_000, 1e-8)
+                out, score = out * pw[0, 0] + pb[0], score * pw[0, 0] + pb[0]
+            cut = lambda m: np.clip(sigmoid(m), CUT, 1 - CUT)
+            yield fold, model, surface, test, cut(score), best_cut(cut(out[there]), s.label[train][there])
 
 
 def nested_results(cells: DataFrame, folds: DataFrame, tuning: bool, views: tuple[str, ...] = ("abundance", "detection", "combined"), models: tuple[str, ...] = ("elastic_net", "svm"), inner: int = 5, seed: int = 43) -> DataFrame:
@@ -382,12 +511,11 @@ def nested_results(cells: DataFrame, folds: DataFrame, tuning: bool, views: tupl
 
     def work(s: Samples, k: pd.DataFrame, repeat: int) -> Iterator[tuple]:
         for view in views:
-            for model in models:
-                for fold, surface, test, probability, threshold in nested(s, k, repeat, view, model, inner, seed):
-                    if tuning:
-                        yield from ((fold, view, model, *r) for r in surface)
-                    else:
-                        yield from ((fold, view, model, int(s.entity[i]), str(s.cond[i]), int(s.label[i]), float(p), threshold) for i, p in zip(test, probability))
+            for fold, model, surface, test, probability, threshold in nested(s, k, repeat, view, models, inner, seed, tuning):
+                if tuning:
+                    yield from ((fold, view, model, *r) for r in surface)
+                else:
+                    yield from ((fold, view, model, int(s.entity[i]), str(s.cond[i]), int(s.label[i]), float(p), threshold) for i, p in zip(test, probability))
 
     columns = "c double, l1 double, k int, accuracy double, panel double, chosen boolean" if tuning else "entity bigint, cond string, label int, score double, threshold double"
     return in_tasks(stage(cells, "cohort-cells"), stage(folds, "cohort-folds"), work, f"outer_fold int, view string, model string, {columns}")

@@ -105,3 +105,19 @@ def test_nested_results_of_every_view_and_model(spark):
     assert grid.groupby("model").size().to_dict() == {"elastic_net": 3 * 28, "svm": 3 * 21} and (grid.groupby(["outer_fold", "model"])["chosen"].sum() == 1).all()
     part = grid[grid["model"] == "elastic_net"]
     assert (part[part["chosen"]].set_index("outer_fold")["accuracy"] == part.groupby("outer_fold")["accuracy"].max()).all()
+
+
+def test_every_setting_of_a_grid_is_settled():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(57, 100)), np.arange(57) % 2
+    x[:, 0] += y
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    w, b = cohorts.fit_grid("elastic_net", x, y, cohorts.GRIDS["elastic_net"])
+    for i, (c, l1, _) in enumerate(cohorts.GRIDS["elastic_net"]):
+        g = (x.T @ (cohorts.sigmoid(x @ w[:, i] + b[i]) - y) + (1 - l1) / c * w[:, i]) / 57
+        off = np.where(w[:, i] != 0, np.abs(g + l1 / c / 57 * np.sign(w[:, i])), np.maximum(np.abs(g) - l1 / c / 57, 0))
+        assert off.max() < 1e-8, (c, l1)  # 3,000 proximal steps of the whole grid ended before C = 100 was settled
+    v, a = cohorts.fit_grid("svm", x, y, cohorts.GRIDS["svm"])
+    for i, (c, _, k) in enumerate(cohorts.GRIDS["svm"]):
+        one = cohorts.linear_svm(x[:, :k], y, c)
+        assert np.allclose(v[:k, i], one[0], atol=1e-8) and abs(a[i] - one[1]) < 1e-8 and not v[k:, i].any()
