@@ -76,3 +76,11 @@ def test_without_labels_only_plain_forms_are_found(spark):
     hints = spark.createDataFrame(HINTS, "name_part string, part_kind string")
     got = {(r.doc_id, f.kind, f.piece) for r in find_personal(docs, "doc_id", "text", hints).collect() for f in r.found}
     assert got == {(1, "email", "a.b@mail.invalid"), (1, "phone", "+1 555 555 0187"), (2, "name", "Tavina Ostrisk"), (2, "address", "14 Ondrina Street")}
+
+
+def test_labels_count_wherever_they_are(spark):
+    odd = [r.id for r in spark.range(20_100).where("pmod(xxhash64(id), 2) <> 0").limit(90).collect()]  # a half of the documents has no label
+    rows = [(i, text) for i, (_, text) in zip(odd, texts())]
+    docs = spark.range(20_100).join(spark.createDataFrame(rows, "id bigint, text string"), "id", "left").selectExpr("id as doc_id", "coalesce(text, 'rows of a table') as text")
+    got = {(r.doc_id, f.kind) for r in find_personal(docs, "doc_id", "text", spark.createDataFrame(HINTS, "name_part string, part_kind string")).collect() for f in r.found}
+    assert got == {(i, kind) for i in odd for kind in ("name", "phone", "identity", "address", "email")}
