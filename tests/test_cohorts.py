@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,22 @@ def test_every_setting_of_a_grid_is_settled():
     for i, (c, _, k) in enumerate(cohorts.GRIDS["svm"]):
         one = cohorts.linear_svm(x[:, :k], y, c)
         assert np.allclose(v[:k, i], one[0], atol=1e-8) and abs(a[i] - one[1]) < 1e-8 and not v[k:, i].any()
+
+
+def test_nested_predictions_are_of_settled_fits(monkeypatch):
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=(60, 80)) + 0.8 * (np.arange(60) % 2)[:, None] * (np.arange(80) < 3)
+    s = cohorts.Samples(np.arange(60) // 2, np.array(["N", "T"] * 30), np.arange(60) % 2, np.array([f"F{j:02d}" for j in range(80)]), y)
+    folds = pd.DataFrame({"entity": range(30), "outer_fold": np.arange(30) % 3})
+    monkeypatch.setitem(cohorts.GRIDS, "elastic_net", [(100.0, 0.9, 100)])
+    probability = {}
+    for fold, _, _, test, p, _ in cohorts.nested(s, folds, 0, "abundance", ("elastic_net",), 3, 43, False):
+        probability[fold] = (test, p)
+    assert len(probability) == 3
+    for fold, train, test in cohorts.outer_splits(s, folds):
+        state = cohorts.fit_state(s, train, "abundance", 100)
+        x, label = cohorts.apply_state(s, state, train), s.label[train]
+        a, share, penalty = np.column_stack([x, np.ones(len(x))]), np.array([0.9]), np.array([1 / (100 * len(x))])
+        w = cohorts.proximal_steps(a, label.astype(float), penalty, share, np.zeros((len(state.names) + 1, 1)), 200_000, 1e-10)
+        want = cohorts.sigmoid(cohorts.apply_state(s, state, test) @ w[:-1, 0] + w[-1, 0])
+        assert np.array_equal(test, probability[fold][0]) and np.abs(want - probability[fold][1]).max() < 1e-5
