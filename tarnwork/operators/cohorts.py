@@ -19,6 +19,7 @@ from tarnwork.session import stage
 
 TASK_CELLS = 5_000_000
 CUT = 1e-8
+BATCH_VALUES = 2_000_000
 
 
 class Samples(NamedTuple):
@@ -37,6 +38,7 @@ class State(NamedTuple):
     median: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
+    detected: np.ndarray
 
 
 def samples_of(f: pd.DataFrame) -> Samples:
@@ -53,39 +55,46 @@ def medians(y: np.ndarray) -> np.ndarray:
     return (np.take_along_axis(y, (n - 1)[None] // 2, 0)[0] + np.take_along_axis(y, n[None] // 2, 0)[0]) / 2
 
 
-def fit_state(s: Samples, train: np.ndarray, view: str, most: int, order: str = "score", least_observed: float = 0.5, least_class: float = 0.35) -> State:
+def fit_state(s: Samples, train: np.ndarray, view: str, most: int, order: str = "score", least_observed: float = 0.5, least_class: float = 0.35, parts: dict | None = None) -> State:
     """What evaluation.fit_transformer says of one fold, for the view abundance (names A:), detection (D:) or combined: detection takes
-    features that some but not all training samples have. order is score or scale."""
+    features that some but not all training samples have. order is score or scale. parts keeps what views of the same fold have in common."""
     if view not in ("abundance", "detection", "combined"):
         raise ValueError(f"unknown view {view}")
-    t, parts = s.label[train] == 1, []
-    y, seen = s.y[train], ~np.isnan(s.y[train])
-    if view != "detection" and len(y):
-        part = lambda m: seen[m].mean(axis=0) if m.any() else np.zeros(seen.shape[1])
-        at = np.flatnonzero((seen.mean(axis=0) >= least_observed) & (part(t) >= least_class) & (part(~t) >= least_class))
-        median = medians(y[:, at]) if len(at) else np.zeros(0)
-        parts.append(("A:", at, median, np.where(seen[:, at], y[:, at], median)))
-    if view != "abundance" and len(y):
-        share = seen.mean(axis=0)
+    rows, parts = [], {} if parts is None else parts
+    for kind in [k for k in "AD" if view != {"A": "detection", "D": "abundance"}[k]]:
+        if kind not in parts:
+            parts[kind] = state_part(s, train, kind, order, least_observed, least_class)
+        rows.append(parts[kind])
+    col = [np.concatenate(c) for c in zip(*rows)]
+    first = np.lexsort((col[2], col[1], col[0]))[:most]
+    _, detected, _, at, median, mean, scale = (c[first] for c in col)
+    return State(np.array([("D:" if d else "A:") + f for d, f in zip(detected.tolist(), s.features[at].tolist())], str), at, median, mean, scale, detected)
+
+
+def state_part(s: Samples, train: np.ndarray, kind: str, order: str, least_observed: float, least_class: float) -> tuple[np.ndarray, ...]:
+    """(mark, detected, rank of the name, place, median, mean, scale) of the eligible features of one kind, the best having the least mark."""
+    t, y = s.label[train] == 1, s.y[train]
+    seen, size = ~np.isnan(y), np.array([t.sum(), len(t) - t.sum()])
+    of = np.array([t, ~t], float) @ seen  # samples of T and N that have the feature
+    part, share = of / np.maximum(size, 1)[:, None], of.sum(axis=0) / max(len(t), 1)
+    if kind == "D":
         at = np.flatnonzero((share > 0) & (share < 1))
-        parts.append(("D:", at, np.zeros(len(at)), seen[:, at].astype(float)))
-    rows = []
-    for kind, at, median, filled in parts:
-        mean, scale = filled.mean(axis=0), filled.std(axis=0)
-        gap = np.abs(filled[t].mean(axis=0) - filled[~t].mean(axis=0)) if t.any() and not t.all() else np.zeros(len(at))
-        some = scale > 1e-9
-        at, median, mean, scale, gap = at[some], median[some], mean[some], scale[some], gap[some]
-        mark = -np.round(gap / scale if order == "score" else scale, 9)
-        rows += zip(mark.tolist(), (kind + f for f in s.features[at].tolist()), at.tolist(), median.tolist(), mean.tolist(), scale.tolist())
-    rows = sorted(rows)[:most]
-    col = lambda i, kind: np.array([r[i] for r in rows], kind)
-    return State(col(1, str), col(2, int), col(3, float), col(4, float), col(5, float))
+        median, mean, scale, means = np.zeros(len(at)), share[at], np.sqrt(share[at] * (1 - share[at])), part[:, at]
+    else:
+        at = np.flatnonzero((share >= least_observed) & (part >= least_class).all(axis=0) & (share > 0))
+        median = medians(y[:, at]) if len(at) else np.zeros(0)
+        filled = np.where(seen[:, at], y[:, at], median)
+        mean, scale, means = filled.mean(axis=0), filled.std(axis=0), np.array([t, ~t], float) @ filled / np.maximum(size, 1)[:, None]
+    gap = np.abs(means[0] - means[1]) if size.all() else np.zeros(len(at))
+    some = scale > 1e-9
+    at, median, mean, scale, gap = at[some], median[some], mean[some], scale[some], gap[some]
+    return -np.round(gap / scale if order == "score" else scale, 9), np.full(len(at), kind == "D"), np.argsort(np.argsort(s.features))[at], at, median, mean, scale
 
 
 def apply_state(s: Samples, state: State, at: np.ndarray) -> np.ndarray:
-    y = s.y[np.ix_(at, state.column)]
-    values = np.where(np.char.startswith(state.names, "D:"), ~np.isnan(y), np.where(np.isnan(y), state.median, y)) if len(state.names) else y
-    return (values - state.mean) / state.scale
+    y = s.y[at[:, None], state.column]
+    missing = np.isnan(y)
+    return (np.where(state.detected, ~missing, np.where(missing, state.median, y)) - state.mean) / state.scale
 
 
 def sigmoid(m: np.ndarray) -> np.ndarray:
@@ -93,77 +102,122 @@ def sigmoid(m: np.ndarray) -> np.ndarray:
 
 
 def elastic_net(x: np.ndarray, label: np.ndarray, c: list[float], l1: list[float], steps: int = 3000, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """(features x settings, intercepts) of C sum(log loss) + l1 |w| + (1 - l1) w² / 2, the intercept free: Newton steps over the weights that are
-    or should be other than 0, from the solution of the next smaller C; what these leave open goes on by proximal steps (see proximal_steps)."""
-    n, p = x.shape
-    a, y = np.column_stack([x, np.ones(n)]), label.astype(float)
-    share, penalty = np.array(l1, float), 1 / (np.array(c, float) * n)
-    none, rate = np.zeros(p + 1), np.clip(y.mean(), CUT, 1 - CUT)
-    none[p] = np.log(rate / (1 - rate))
-    steepest = np.abs(x.T @ (rate - y)).max(initial=0.0) / n  # a larger penalty leaves every weight at 0
-    out, left, last = np.repeat(none[:, None], len(share), axis=1), [], {}
-    for i in sorted(range(len(share)), key=lambda i: (share[i], -penalty[i])):
-        if penalty[i] * share[i] < steepest or not 0 < label.sum() < n:
-            out[:, i], done = newton_steps(a, y, penalty[i] * share[i], penalty[i] * (1 - share[i]), last.get(share[i], none))
-            last[share[i]] = out[:, i]
-            left += [] if done else [i]
-    if left:
-        out[:, left] = proximal_steps(a, y, penalty[left], share[left], out[:, left], steps, tol)
-    return out[:p], out[p]
-
-
-def newton_steps(a: np.ndarray, y: np.ndarray, lasso: float, ridge: float, w: np.ndarray, steps: int = 100, tol: float = 1e-10) -> tuple[np.ndarray, bool]:
-    """(weights, did they settle) of mean log loss + lasso |w| + ridge w² / 2, the last weight being the free intercept.
+    """(features x settings, intercepts) of C sum(log loss) + l1 |w| + (1 - l1) w² / 2, the intercept free (see elastic_nets)."""
+    return elastic_nets([(x, label, [(g, r, x.shape[1]) for g, r in zip(c, l1)], {})], steps, tol)[0]
+
+
+def elastic_nets(jobs: list[tuple], steps: int = 3000, tol: float = 1e-5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """elastic_net of every job (rows, labels, settings (C, l1, first features), last): Newton steps over the weights that are or should be other than
+    0, from the solution of the next smaller C, for which last keeps the latest one between calls with the same rows, all jobs at once; what these
+    leave open goes on by proximal steps (see proximal_steps)."""
+    out, todo, width, most = [], {}, max(x.shape[1] for x, *_ in jobs) + 1, max(len(x) for x, *_ in jobs)
+    for j, (x, label, settings, last) in enumerate(jobs):
+        n, none, rate = len(x), np.zeros(width), np.clip(label.mean(), CUT, 1 - CUT)
+        none[-1] = np.log(rate / (1 - rate))
+        if "slopes" not in last:
+            last["slopes"] = np.abs(x.T @ (rate - label)) / n
+        slopes = last["slopes"]
+        out.append(np.repeat(none[:, None], len(settings), axis=1))
+        for i, (c, l1, k) in enumerate(settings):
+            if l1 / (c * n) < slopes[:k].max(initial=0.0) or not 0 < label.sum() < n:  # else a penalty that leaves every weight at 0
+                todo.setdefault((c, l1 < 0.5, k), []).append((j, i, l1))  # a small l1 leaves many weights: larger steps
+    for (c, _, k), group in sorted(todo.items(), key=lambda g: g[0]):
+        some = max(1, BATCH_VALUES // (width * most))
+        for part in (group[i : i + some] for i in range(0, len(group), some)):
+            share, penalty = np.array([l1 for *_, l1 in part]), np.array([1 / (c * len(jobs[j][0])) for j, *_ in part])
+            a, y, weight, start = (np.zeros((len(part), *size)) for size in ((width, most), (most,), (most,), (width,)))  # the intercept comes last
+            for r, (j, i, l1) in enumerate(part):
+                x, label, _, last = jobs[j]
+                n, before = len(x), last.get((l1, k), out[j][:, i])
+                a[r, : min(k, x.shape[1]), :n], a[r, -1, :n], y[r, :n], weight[r, :n] = x.T[:k], 1.0, label, 1 / n
+                start[r, : len(before) - 1], start[r, -1] = before[:-1], before[-1]
+            w, settled = newton_steps(a, y, weight, penalty * share, penalty * (1 - share), start)
+            for (j, i, l1), own, penal, done in zip(part, w, penalty, settled):
+                x, label = jobs[j][:2]
+                p = min(k, x.shape[1])
+                if not done:
+                    full = proximal_steps(np.column_stack([x[:, :p], np.ones(len(x))]), label.astype(float), np.array([penal]), np.array([l1]), own[[*range(p), -1], None], steps, tol)[:, 0]
+                    own = np.concatenate([full[:p], np.zeros(width - 1 - p), full[p:]])
+                out[j][:, i] = own
+                jobs[j][3][l1, k] = np.append(own[: x.shape[1]], own[-1])
+    return [(w[: x.shape[1]], w[-1]) for (x, *_), w in zip(jobs, out)]
+
+
+def newton_steps(a: np.ndarray, y: np.ndarray, weight: np.ndarray, lasso: np.ndarray, ridge: np.ndarray, w: np.ndarray, steps: int = 100, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, did they settle) of the weighted log loss + lasso |w| + ridge w² / 2 of every fit, the last weight being the free intercept. a is
+    fits x weights x samples; rows and samples that a fit lacks are 0.
 
     A step solves for the weights that are not 0 and those at 0 whose slope is more than half as far over lasso as the farthest, each kept
     on its side of 0; one that would leave 0 to the wrong side stays there. Settled: no slope is off by more than tol.
     """
-    n, p = len(y), a.shape[1] - 1
-    extra, bound = np.full(p + 1, ridge), np.full(p + 1, lasso)
-    extra[p] = bound[p] = 0.0
-    loss = lambda m, v, r, b: (np.logaddexp(0, m) - y * m).sum() / n + b @ np.abs(v) + 0.5 * (r @ (v * v))
-    m = a @ w
-    now = loss(m, w, extra, bound)
+    out, settled, live, turned = w.copy(), np.zeros(len(w), bool), np.arange(len(w)), 1 - 2 * y
+    loss = lambda m, v, on: (np.logaddexp(0, turned[on] * m) * weight[on]).sum(axis=1) + lasso[on] * np.abs(v).sum(axis=1) + 0.5 * ridge[on] * np.square(v).sum(axis=1)
+    m = (w[:, None] @ a)[:, 0]
+    now = loss(m, w[:, :-1], slice(None))
     for _ in range(steps):
         q = sigmoid(m)
-        g = (q - y) @ a / n + extra * w
-        side = np.sign(w)
-        slope, there = g + bound * side, side != 0
-        over = np.where(there, 0.0, np.abs(g) - bound)
-        worst = over[:p].max(initial=0.0)
-        if max(worst, np.abs(slope[there]).max(initial=0.0), abs(g[p])) <= tol:
-            return w, True
-        fresh = (over > max(worst / 2, tol)) & ~there
-        side[fresh] = -np.sign(g[fresh])
-        there |= fresh
-        there[p], side[p] = True, 0.0
-        at = np.flatnonzero(there)
-        some, f = a[:, at], g[at] + bound[at] * side[at]
-        h = (some * (q * (1 - q) / n)[:, None]).T @ some
-        h.flat[:: len(at) + 1] += extra[at] + 1e-13
-        while True:
-            try:
-                d = np.linalg.solve(h, -f)
-            except np.linalg.LinAlgError:
-                return w, False
-            right = (w[at] != 0) | (d * side[at] >= 0)
-            if right.all():
-                break
-            at, f, some, h = at[right], f[right], some[:, right], h[np.ix_(right, right)]
-        old, s, r, b, t = w[at], side[at], extra[at], bound[at], 1.0
-        while True:
-            v = old + t * d
-            v[v * s < 0] = 0.0
-            m = some @ v
-            after = loss(m, v, r, b)
-            if after <= now + 1e-4 * (f @ (v - old)) + 1e-15 * abs(now):
-                break
-            t /= 2
-            if not t > 1e-12:
-                return w, False
-        w, now = np.zeros(p + 1), after
-        w[at] = v
-    return w, False
+        g = (a @ ((q - y) * weight)[:, :, None])[:, :, 0]
+        g[:, :-1] += ridge[:, None] * w[:, :-1]
+        there, side, bound = w != 0, np.sign(w), np.repeat(lasso[:, None], w.shape[1], axis=1)
+        there[:, -1], side[:, -1], bound[:, -1] = True, 0.0, 0.0
+        off = np.abs(g + bound * side)
+        over = np.where(there, 0.0, off - bound)
+        worst = over.max(axis=1)
+        open_ = np.maximum(worst, np.where(there, off, 0.0).max(axis=1)) > tol
+        ended = ~open_ & ~settled[live]
+        out[live[ended]], settled[live[ended]] = w[ended], True
+        open_ &= ~settled[live]
+        if not open_.any():
+            break
+        if 2 * open_.sum() <= len(open_):  # until then copies cost more than steps that nobody needs
+            live, a, y, weight, turned, lasso, ridge, w, m, now, q, g, there, side, bound, over, worst = (v[open_] for v in (live, a, y, weight, turned, lasso, ridge, w, m, now, q, g, there, side, bound, over, worst))
+        use = there | (over > np.maximum(worst / 2, tol)[:, None])
+        count = use.sum(axis=1)
+        at = np.argsort(~use, axis=1, kind="stable")[:, : count.max()]
+        valid, free, each = np.arange(at.shape[1]) < count[:, None], at == a.shape[1] - 1, np.arange(len(at))[:, None]
+        some, old = a[each, at] * valid[:, :, None], w[each, at]
+        f, s = g[each, at], side[each, at]
+        s = np.where(free | ~valid, 0.0, np.where(old != 0, s, -np.sign(f)))
+        f = (f + bound[each, at] * s) * valid
+        h = (some * (q * (1 - q) * weight)[:, None]) @ some.transpose(0, 2, 1)
+        diagonal = np.arange(at.shape[1])
+        h[:, diagonal, diagonal] += np.where(valid, np.where(free, 0.0, ridge[:, None]) + 1e-13, 1.0)
+        try:
+            d, wrong = np.linalg.solve(h, -f[:, :, None])[:, :, 0], np.arange(len(h))
+            while True:
+                left = (old[wrong] == 0) & (d[wrong] * s[wrong] < 0)
+                if not left.any():
+                    break
+                again = left.any(axis=1)
+                wrong, left = wrong[again], left[again]
+                part = np.where(left[:, :, None] | left[:, None, :], 0.0, h[wrong])
+                part[:, diagonal, diagonal] += left
+                f[wrong], s[wrong], h[wrong] = np.where(left, 0.0, f[wrong]), np.where(left, 0.0, s[wrong]), part
+                d[wrong] = np.linalg.solve(part, -f[wrong][:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:
+            break
+        t, after, v, on, stuck = np.ones(len(at)), now.copy(), old.copy(), np.arange(len(at)), np.zeros(len(at), bool)
+        while len(on):
+            v[on] = old[on] + t[on, None] * d[on]
+            v[on] = np.where(v[on] * s[on] < 0, 0.0, v[on])
+            m[on] = (v[on][:, None] @ some[on])[:, 0]
+            after[on] = loss(m[on], np.where(free[on], 0.0, v[on]), on)
+            on = on[after[on] > now[on] + 1e-4 * (f[on] * (v[on] - old[on])).sum(axis=1) + 1e-14 * now[on]]
+            t[on] /= 2
+            stuck[on[t[on] <= 1e-12]] = True
+            on = on[t[on] > 1e-12]
+        fresh = np.zeros_like(w)
+        np.put_along_axis(fresh, at, v, 1)
+        if stuck.any():
+            lost, move = stuck & ~settled[live], ~stuck
+            out[live[lost]] = w[lost]
+            live, a, y, weight, turned, lasso, ridge, fresh, m, after = (v[move] for v in (live, a, y, weight, turned, lasso, ridge, fresh, m, after))
+        w, now = fresh, after
+        if settled[live].all():
+            break
+    rest = ~settled[live]
+    out[live[rest]] = w[rest]
+    return out, settled
 
 
 def proximal_steps(a: np.ndarray, label: np.ndarray, penalty: np.ndarray, share: np.ndarray, out: np.ndarray, steps: int, tol: float) -> np.ndarray:
@@ -211,37 +265,68 @@ def linear_svm(x: np.ndarray, label: np.ndarray, c: float, steps: int = 100) ->
     return w[:-1], float(w[-1])
 
 
-def svm_settings(x: np.ndarray, label: np.ndarray, c: list[float], k: list[int], steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """(features x settings, intercepts) of linear_svm over the first k features of each setting, all settings at once: the weights are sums of
-    samples, so a Newton step solves for one number a sample; a setting ends when a whole step leaves the samples within the margin the same."""
-    n, s = len(x), 2.0 * label - 1
-    w, b, live = np.zeros((x.shape[1], len(c))), np.zeros(len(c)), np.arange(len(c))
-    kernels = {j: x[:, :j] @ x[:, :j].T + 1 for j in set(k)}
-    kernel, cost = np.array([kernels[j] for j in k]), np.array(c, float)[:, None]
-    alpha, m, room = np.zeros((len(c), n)), np.zeros((len(c), n)), np.empty((len(c), n, n))
-    done = alpha.copy()
-    loss = lambda alpha, m, cost: 0.5 * (alpha * m).sum(axis=1) + cost[:, 0] * np.square(np.maximum(0, 1 - s * m)).sum(axis=1)
+def linear_svms(jobs: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features x settings, intercepts) of linear_svm for every job (rows, labels, settings (C, None, first features), last): the weights are sums of
+    samples, so a step (see margin_steps) solves for one number a sample, for all jobs at once, from the solution of the next smaller C."""
+    out, todo, most = [(np.zeros((x.shape[1], len(settings))), np.zeros(len(settings))) for x, _, settings, _ in jobs], {}, max(len(x) for x, *_ in jobs)
+    for j, (x, _, settings, _) in enumerate(jobs):
+        for i, (c, _, k) in enumerate(settings):
+            todo.setdefault(c, []).append((j, i, min(k, x.shape[1])))
+    for c, group in sorted(todo.items()):
+        some = max(1, BATCH_VALUES // most**2)
+        for part in (group[i : i + some] for i in range(0, len(group), some)):
+            kernel, s, alpha = np.zeros((len(part), most, most)), np.zeros((len(part), most)), np.zeros((len(part), most))
+            for r, (j, _, k) in enumerate(part):
+                x, label, _, last = jobs[j]
+                if k not in last:
+                    last[k] = x[:, :k] @ x[:, :k].T + 1, np.zeros(len(x))
+                kernel[r, : len(x), : len(x)], alpha[r, : len(x)] = last[k]
+                s[r, : len(x)] = 2.0 * label - 1
+            alpha = margin_steps(kernel, s, c, alpha)
+            for own, (j, i, k) in zip(alpha, part):
+                x, last = jobs[j][0], jobs[j][3]
+                last[k] = last[k][0], own[: len(x)]
+                out[j][0][:k, i], out[j][1][i] = last[k][1] @ x[:, :k], own.sum()
+    return out
+
+
+def margin_steps(kernel: np.ndarray, s: np.ndarray, c: float, alpha: np.ndarray, steps: int = 100) -> np.ndarray:
+    """The samples' numbers of every fit by Newton steps from alpha, halved until they help; a fit ends when a whole step leaves the samples within
+    the margin the same. Samples that a fit lacks have s 0."""
+    out, live = alpha.copy(), np.arange(len(alpha))
+    m = (kernel @ alpha[:, :, None])[:, :, 0]
+    room = lambda m, s: np.where(s != 0, np.maximum(0, 1 - s * m), 0.0)
+    loss = lambda alpha, m, gap: 0.5 * (alpha * m).sum(axis=1) + c * np.square(gap).sum(axis=1)
+    gap = room(m, s)
+    now = loss(alpha, m, gap)
     for _ in range(steps):
-        gap = np.maximum(0, 1 - s * m)
-        on = gap > 0
-        h = np.multiply(kernel, on[:, :, None], out=room[: len(live)])
-        h *= on[:, None, :]
-        h[:, np.arange(n), np.arange(n)] += np.where(on, 0.5 / cost, 1.0)
-        d = np.linalg.solve(h, (s * on)[:, :, None])[:, :, 0] - alpha
-        move = (kernel @ d[:, :, None])[:, :, 0]
-        now, fall = loss(alpha, m, cost), ((alpha - 2 * cost * s * gap) * move).sum(axis=1)
-        t = np.ones(len(live))
-        while (short := (loss(alpha + t[:, None] * d, m + t[:, None] * move, cost) > now + 1e-4 * t * fall + 1e-13 * np.abs(now)) & (t > 1e-10)).any():
+        count = (gap > 0).sum(axis=1)
+        at = np.argsort(gap <= 0, axis=1, kind="stable")[:, : count.max()]
+        valid, each, diagonal = np.arange(at.shape[1]) < count[:, None], np.arange(len(at))[:, None], np.arange(at.shape[1])
+        h = kernel[each[:, :, None], at[:, :, None], at[:, None]]
+        if not valid.all():
+            h *= valid[:, :, None] & valid[:, None]
+        h[:, diagonal, diagonal] += np.where(valid, 0.5 / c, 1.0)
+        new = np.zeros_like(alpha)
+        np.put_along_axis(new, at, np.linalg.solve(h, (s[each, at] * valid)[:, :, None])[:, :, 0], 1)
+        ahead = (kernel @ new[:, :, None])[:, :, 0]
+        gap_ahead = room(ahead, s)
+        open_ = ((gap_ahead > 0) != (gap > 0)).any(axis=1)
+        if not open_.all():
+            out[live[~open_]] = new[~open_]
+            if not open_.any():
+                return out
+            live, kernel, s, alpha, m, gap, now, new, ahead, gap_ahead = (v[open_] for v in (live, kernel, s, alpha, m, gap, now, new, ahead, gap_ahead))
+        d, move, t, after = new - alpha, ahead - m, np.ones(len(live)), loss(new, ahead, gap_ahead)
+        fall = ((alpha - 2 * c * s * gap) * move).sum(axis=1)
+        while (short := (after > now + 1e-4 * t * fall + 1e-13 * np.abs(now)) & (t > 1e-10)).any():
             t[short] /= 2
-        alpha, m = alpha + t[:, None] * d, m + t[:, None] * move
-        still = (t < 1) | ((s * m < 1) != on).any(axis=1)
-        done[live] = alpha
-        if not still.any():
-            break
-        live, alpha, m, kernel, cost = live[still], alpha[still], m[still], kernel[still], cost[still]
-    for i, j in enumerate(k):
-        w[:j, i], b[i] = done[i] @ x[:, :j], done[i].sum()
-    return w, b
+            new, ahead = alpha + t[:, None] * d, m + t[:, None] * move
+            gap_ahead = room(ahead, s)
+            after = loss(new, ahead, gap_ahead)
+        alpha, m, gap, now = new, ahead, gap_ahead, after
+    out[live] = alpha
+    return out
 
 
 def balanced_accuracy(label: np.ndarray, hit: np.ndarray) -> float:
@@ -447,62 +532,131 @@ def best_cut(probability: np.ndarray, label: np.ndarray) -> float:
 
 def fit_grid(model: str, x: np.ndarray, label: np.ndarray, grid: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """(features x settings, intercepts) of a grid; a setting of k features has zeros after the first k."""
-    w, b = np.zeros((x.shape[1], len(grid))), np.zeros(len(grid))
-    if model == "svm":
-        wide = [i for i, g in enumerate(grid) if len(x) <= 4 * g[2]]
-        if wide:
-            w[:, wide], b[wide] = svm_settings(x, label, [grid[i][0] for i in wide], [min(grid[i][2], x.shape[1]) for i in wide])
-        for i in set(range(len(grid))) - set(wide):
-            w[: grid[i][2], i], b[i] = linear_svm(x[:, : grid[i][2]], label, grid[i][0])
-        return w, b
-    for k in {g[2] for g in grid}:
-        at = [i for i, g in enumerate(grid) if g[2] == k]
-        w[:k, at], b[at] = elastic_net(x[:, :k], label, [grid[i][0] for i in at], [grid[i][1] for i in at])
-    return w, b
-
-
-def nested(s: Samples, folds: pd.DataFrame, repeat: int, view: str, models: tuple[str, ...], inner: int, seed: int, tuning: bool) -> Iterator[tuple]:
+    return fit_grids(model, [(x, label, grid, {})])[0]
+
+
+def fit_grids(model: str, jobs: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """fit_grid of every job (rows, labels, grid, last), all at once; last is a dict of the solutions to start from."""
+    if model != "svm":
+        return elastic_nets(jobs)
+    narrow = {j: [i for i, g in enumerate(grid) if len(x) > 4 * g[2]] for j, (x, _, grid, _) in enumerate(jobs)}
+    out = linear_svms([(x, label, [g for g in grid if len(x) <= 4 * g[2]], last) for x, label, grid, last in jobs])
+    for j, at in narrow.items():
+        if at:
+            x, label, grid, _ = jobs[j]
+            w, b, rest = np.zeros((x.shape[1], len(grid))), np.zeros(len(grid)), [i for i in range(len(grid)) if i not in at]
+            w[:, rest], b[rest] = out[j]
+            for i in at:
+                w[: grid[i][2], i], b[i] = linear_svm(x[:, : grid[i][2]], label, grid[i][0])
+            out[j] = w, b
+    return out
+
+
+class Surface:
+    """What is known of a grid's settings over inner folds, `rows` being their (training rows, labels, held-out rows, places)."""
+
+    def __init__(self, grid: list[tuple], rows: list[tuple], label: np.ndarray):
+        self.grid, self.rows = grid, rows
+        self.oof, self.panels, self.last = np.full((len(label), len(grid)), np.nan), np.zeros((len(rows), len(grid))), [{} for _ in rows]
+        self.both = np.array([0 < label[judged].sum() < len(judged) for *_, judged in rows])
+        self.marks, self.times = np.where(self.both[:, None], np.ones(len(grid)), 0.0), int(self.both.sum())  # 1 until it is known
+        self.best, self.top, self.order, self.open = -1, -np.inf, list(range(len(rows))), np.zeros(0, int)
+        sides = [label[judged] == 1 for *_, judged in rows]
+        self.truth, self.sides = [t[:, None] for t in sides], [np.array([t, ~t], float) for t in sides]
+
+    def accuracy(self) -> np.ndarray:
+        """At most, as far as folds are still to come."""
+        return self.marks.sum(axis=0) / self.times if self.times else np.full(len(self.grid), -1.0)
+
+    def narrow(self) -> None:
+        if len(self.open) and self.best >= 0:
+            self.open = self.open[np.round(self.accuracy()[self.open], 12) > self.top]
+
+    def learn(self, j: int, w: np.ndarray, b: np.ndarray) -> None:
+        _, _, unseen, judged = self.rows[j]
+        self.oof[judged[:, None], self.open] = m = unseen @ w + b
+        if self.both[j]:
+            t, n = self.sides[j] @ ((m >= 0) == self.truth[j]), self.sides[j].sum(axis=1)
+            self.marks[j, self.open] = (t[0] / n[0] + t[1] / n[1]) / 2
+        self.panels[j, self.open] = (np.abs(w) > 1e-12).sum(axis=0)
+
+    def choose(self) -> None:
+        """The best accuracy, then least C, panel, largest l1, least k, of the open settings and the best so far, which has a smaller C."""
+        self.narrow()
+        if len(self.open):
+            accuracy, panel = np.round(self.accuracy(), 12), self.panels.mean(axis=0)
+            self.best = min(self.open.tolist(), key=lambda i: (-accuracy[i], self.grid[i][0], panel[i], -(self.grid[i][1] or 0), self.grid[i][2]))
+            self.top, self.order = accuracy[self.best], sorted(self.order, key=lambda j: self.marks[j, self.best])  # others err where it errs
+
+
+def judge_grids(model: str, folds: list[list[tuple]], label: np.ndarray, whole: bool) -> list[Surface]:
+    """The surface of every outer fold's inner folds (see Surface). If not whole, settings are met by C, and one that would not be chosen with
+    every held-out sample right in the folds still to come isn't fitted in these: the choice and its held-out scores are those of the whole grid,
+    the rest of the surface isn't."""
+    grid = GRIDS[model]
+    out = [Surface(grid, rows, label) for rows in folds]
+    for c in [None] if whole else sorted({g[0] for g in grid}):
+        for x in out:
+            x.open = np.array([i for i, g in enumerate(grid) if (whole or g[0] == c) and x.top < 1], int)
+        steps = max(len(x.rows) for x in out)
+        for at in [range(steps)] if out[0].best < 0 else [[i] for i in range(steps)]:
+            for x in out:
+                x.narrow()
+            met = [(x, j) for x in out if len(x.open) for j in [x.order[i] for i in at if i < len(x.rows)]]
+            fits = fit_grids(model, [(*x.rows[j][:2], [grid[i] for i in x.open], x.last[j]) for x, j in met]) if met else []
+            for (x, j), (w, b) in zip(met, fits):
+                x.learn(j, w, b)
+        for x in out:
+            x.choose()
+    return out
+
+
+def nested(s: Samples, folds: pd.DataFrame, repeat: int, view: str, models: tuple[str, ...], inner: int, seed: int, tuning: bool, parts: dict | None = None) -> Iterator[tuple]:
     """(fold, model, surface, test, probability, threshold) of every outer fold and model: the grid is judged over inner folds of the training
-    entities, and the chosen setting (best accuracy, then least C, panel, largest l1, least k), its threshold and, for svm, its calibration judge
-    the test samples; with tuning only the surface is worked out. Folds, states and rows are the same for all models."""
+    entities, and the chosen setting (see judge_grids), its threshold and, for svm, its calibration judge the test samples; with tuning the surface of
+    the whole grid is worked out instead. Folds, states and rows are the same for all models, and fits of several folds go side by side.
+    parts keeps what states of several views have in common."""
+    outer, most, parts = [], max(g[2] for m in models for g in GRIDS[m]), {} if parts is None else parts
     for fold, train, test in outer_splits(s, folds):
         order = sorted(set(s.entity[train].tolist()), key=lambda e: (hashlib.md5(f"{e}:{repeat * 1009 + seed}:{fold}".encode()).hexdigest(), e))
         dealt = {"entity": order, "outer_fold": [i % inner for i in range(len(order))]}
-        most = max(g[2] for m in models for g in GRIDS[m])
-        state = fit_state(s, train, view, most)
+        state = fit_state(s, train, view, most, parts=parts.setdefault((fold, None), {}))
         if not len(state.names):
             continue
         rows = []
-        for _, fit, judged in outer_splits(s, pd.DataFrame(dealt)):
-            own = fit_state(s, fit, view, most)
+        for k, fit, judged in outer_splits(s, pd.DataFrame(dealt)):
+            own = fit_state(s, fit, view, most, parts=parts.setdefault((fold, k), {}))
             if len(own.names):
-                rows.append((apply_state(s, own, fit), s.label[fit], apply_state(s, own, judged), judged))
-        x, z = (apply_state(s, state, train), apply_state(s, state, test)) if not tuning else (None, None)
-        for model in models if rows else ():
-            grid = GRIDS[model]
-            oof, marks, panels = np.full((len(s.label), len(grid)), np.nan), [], []
-            for known, label, unseen, judged in rows:
-                w, b = fit_grid(model, known, label, grid)
-                oof[judged] = unseen @ w + b
-                hit, t = (oof[judged] >= 0) == (s.label[judged] == 1)[:, None], s.label[judged] == 1
-                marks.append((hit[t].mean(axis=0) + hit[~t].mean(axis=0)) / 2 if t.any() and not t.all() else np.full(len(grid), np.nan))
-                panels.append((np.abs(w) > 1e-12).sum(axis=0))
-            marks = np.array(marks)
-            times = (~np.isnan(marks)).sum(axis=0)
-            accuracy, panel = np.where(times > 0, np.nansum(marks, axis=0) / np.maximum(times, 1), -1.0), np.mean(panels, axis=0)
-            best = min(range(len(grid)), key=lambda i: (-round(accuracy[i], 12), grid[i][0], panel[i], -(grid[i][1] or 0), grid[i][2]))
-            surface = [(*g, float(accuracy[i]) if times[i] else None, float(panel[i]), i == best) for i, g in enumerate(grid)]
-            if tuning:
-                yield fold, model, surface, test, None, None
-                continue
-            w, b = fit_grid(model, x, s.label[train], [grid[best]])
-            out, score = oof[train, best], z @ w[:, 0] + b[0]
-            there = ~np.isnan(out)
-            if model == "svm":
-                pw, pb = elastic_net(out[there, None], s.label[train][there], [1.0], [0.0], 20_000, 1e-8)
-                out, score = out * pw[0, 0] + pb[0], score * pw[0, 0] + pb[0]
-            cut = lambda m: np.clip(sigmoid(m), CUT, 1 - CUT)
-            yield fold, model, surface, test, cut(score), best_cut(cut(out[there]), s.label[train][there])
+                z = apply_state(s, own, np.concatenate([fit, judged]))
+                rows.append((z[: len(fit)], s.label[fit], z[len(fit) :], judged))
+        if rows:
+            outer.append((fold, train, test, state, rows))
+        if sum(x.size + z.size for *_, rows in outer for x, _, z, _ in rows) > 5 * BATCH_VALUES:
+            yield from tuned(s, outer, models, tuning)
+            outer = []
+    yield from tuned(s, outer, models, tuning)
+
+
+def tuned(s: Samples, outer: list[tuple], models: tuple[str, ...], tuning: bool) -> Iterator[tuple]:
+    """The rows of nested for outer folds (fold, train, test, state, inner folds), all of which are in memory."""
+    for model in models if outer else ():
+        grid, judged = GRIDS[model], judge_grids(model, [rows for *_, rows in outer], s.label, tuning)
+        if tuning:
+            for (fold, _, test, *_), own in zip(outer, judged):
+                accuracy, panel = own.accuracy(), own.panels.mean(axis=0)
+                yield fold, model, [(*g, float(accuracy[i]) if own.times else None, float(panel[i]), i == own.best) for i, g in enumerate(grid)], test, None, None
+            continue
+        final = fit_grids(model, [(apply_state(s, state, train), s.label[train], [grid[own.best]], {}) for (_, train, _, state, _), own in zip(outer, judged)])
+        known = [(own.oof[train, own.best], s.label[train]) for (_, train, *_), own in zip(outer, judged)]
+        known = [(out[there], label[there]) for out, label in known for there in [~np.isnan(out)]]
+        scores = [apply_state(s, state, test) @ w[:, 0] + b[0] for (_, _, test, state, _), (w, b) in zip(outer, final)]
+        if model == "svm":
+            turns = elastic_nets([(out[:, None], label, [(1.0, 0.0, 1)], {}) for out, label in known], 20_000, 1e-8)
+            known = [(out * w[0, 0] + b[0], label) for (out, label), (w, b) in zip(known, turns)]
+            scores = [score * w[0, 0] + b[0] for score, (w, b) in zip(scores, turns)]
+        cut = lambda m: np.clip(sigmoid(m), CUT, 1 - CUT)
+        for (fold, _, test, *_), (out, label), score in zip(outer, known, scores):
+            yield fold, model, None, test, cut(score), best_cut(cut(out), label)
 
 
 def nested_results(cells: DataFrame, folds: DataFrame, tuning: bool, views: tuple[str, ...] = ("abundance", "detection", "combined"), models: tuple[str, ...] = ("elastic_net", "svm"), inner: int = 5, seed: int = 43) -> DataFrame:
@@ -510,8 +664,9 @@ def nested_results(cells: DataFrame, folds: DataFrame, tuning: bool, views: tupl
     probability and the threshold, both of the setting chosen inside the fold. One task holds a cohort."""
 
     def work(s: Samples, k: pd.DataFrame, repeat: int) -> Iterator[tuple]:
+        parts: dict = {}
         for view in views:
-            for fold, model, surface, test, probability, threshold in nested(s, k, repeat, view, models, inner, seed, tuning):
+            for fold, model, surface, test, probability, threshold in nested(s, k, repeat, view, models, inner, seed, tuning, parts):
                 if tuning:
                     yield from ((fold, view, model, *r) for r in surface)
                 else:

@@ -141,3 +141,58 @@ def test_nested_predictions_are_of_settled_fits(monkeypatch):
         w = cohorts.proximal_steps(a, label.astype(float), penalty, share, np.zeros((len(state.names) + 1, 1)), 200_000, 1e-10)
         want = cohorts.sigmoid(cohorts.apply_state(s, state, test) @ w[:-1, 0] + w[-1, 0])
         assert np.array_equal(test, probability[fold][0]) and np.abs(want - probability[fold][1]).max() < 1e-5
+
+
+def inner_rows(rng, shift, n=48, p=30):
+    """Rows of three inner folds of 24 pairs, 3 of p features being raised by shift."""
+    x, label, fold = rng.normal(size=(n, p)), np.arange(n) % 2, np.arange(n) // 2 % 3
+    x[:, :3] += shift * label[:, None]
+    return label, [(x[fold != k], label[fold != k], x[fold == k], np.flatnonzero(fold == k)) for k in range(3)]
+
+
+def test_bounded_tuning_chooses_as_the_whole_grid(monkeypatch):
+    rng, fits = np.random.default_rng(6), []
+    each = cohorts.fit_grids
+    monkeypatch.setattr(cohorts, "fit_grids", lambda model, jobs: fits.append(sum(len(j[2]) for j in jobs)) or each(model, jobs))
+    met = set()
+    for shift in (0.0, 0.0, 0.5, 1.0, 4.0):
+        label, rows = inner_rows(rng, shift)
+        for model, size in (("elastic_net", 28), ("svm", 21)):
+            (whole,), (some,) = cohorts.judge_grids(model, [rows], label, True), cohorts.judge_grids(model, [rows], label, False)
+            assert whole.best == some.best and np.allclose(whole.oof[:, whole.best], some.oof[:, some.best], atol=1e-7)
+            assert not np.isnan(whole.oof).any() and abs(whole.accuracy()[whole.best] - some.top) < 1e-9
+            met.add(cohorts.GRIDS[model][some.best])
+            assert shift < 4 or sum(fits[1:]) < 3 * size  # clear cases end before the whole grid is fitted
+            assert fits[0] == 3 * size
+            fits.clear()
+    assert len(met) > 3
+
+
+def test_fits_side_by_side_are_those_of_one(monkeypatch):
+    rng = np.random.default_rng(7)
+    sizes = [(40, 12), (57, 30), (31, 45)]
+    jobs = [(x, np.arange(n) % 2) for n, p in sizes for x in [rng.normal(size=(n, p)) + 0.4 * (np.arange(n) % 2)[:, None]]]
+    for model in ("elastic_net", "svm"):
+        grid = cohorts.GRIDS[model]
+        all_ = cohorts.fit_grids(model, [(x, y, grid, {}) for x, y in jobs])
+        monkeypatch.setattr(cohorts, "BATCH_VALUES", 1)
+        for (x, y), (w, b) in zip(jobs, all_):
+            v, a = cohorts.fit_grid(model, x, y, grid)
+            assert w.shape == (x.shape[1], len(grid)) and np.allclose(w, v, atol=1e-6) and np.allclose(b, a, atol=1e-6)
+            for i, (c, l1, k) in enumerate(grid if model == "elastic_net" else ()):
+                g = x.T @ (cohorts.sigmoid(x @ w[:, i] + b[i]) - y) / len(x) + (1 - l1) / c / len(x) * w[:, i]
+                assert np.where(w[:, i] != 0, np.abs(g + l1 / c / len(x) * np.sign(w[:, i])), np.abs(g) - l1 / c / len(x)).max() < 1e-8, (c, l1)
+        monkeypatch.undo()
+
+
+def test_large_cohorts_go_fold_by_fold(monkeypatch):
+    label, rows = inner_rows(np.random.default_rng(8), 1.0)
+    y = np.zeros((48, 30))
+    for _, _, z, at in rows:
+        y[at] = z
+    s = cohorts.Samples(np.arange(48) // 2, np.array(["N", "T"] * 24), label, np.array([f"F{j:02d}" for j in range(30)]), y)
+    folds = pd.DataFrame({"entity": range(24), "outer_fold": np.arange(24) % 3})
+    row = lambda r: (r[1], r[0], r[3].tolist(), np.round(r[4], 6).tolist(), round(r[5], 6))
+    want = sorted(map(row, cohorts.nested(s, folds, 0, "abundance", ("elastic_net", "svm"), 3, 43, False)))
+    monkeypatch.setattr(cohorts, "BATCH_VALUES", 1)
+    assert len(want) == 6 and want == sorted(map(row, cohorts.nested(s, folds, 0, "abundance", ("elastic_net", "svm"), 3, 43, False)))
